@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from lexsieve.llm import chat_format, quality_rules, url_rules
+from lexsieve.llm import (
+    bpe_codec,
+    chat_format,
+    packing,
+    quality_rules,
+    secret_scan,
+    url_rules,
+)
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op8_packing": packing.op8_packing,
+    "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
