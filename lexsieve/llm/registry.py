@@ -6,14 +6,18 @@ from lexsieve.llm import (
     bpe_codec,
     chat_format,
     packing,
+    phrase_fingerprint,
+    pu_classifier,
     quality_rules,
     secret_scan,
     url_rules,
 )
 
 QUERIES = {
+    "op1_pu_classifier": pu_classifier.op1_pu_classifier,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_phrase_fingerprint": phrase_fingerprint.op4_phrase_fingerprint,
     "op6_chat_format": chat_format.op6_chat_format,
     "op8_packing": packing.op8_packing,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
