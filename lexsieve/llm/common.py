@@ -35,13 +35,19 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % modulus == remainder, F.lit(False))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by files in spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir.
 
     Only where that setting is absent, as in local tests, a folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by files in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

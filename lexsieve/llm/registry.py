@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexsieve.llm import (
     bpe_codec,
     chat_format,
+    ngram_join,
     packing,
     phrase_fingerprint,
     pu_classifier,
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_phrase_fingerprint": phrase_fingerprint.op4_phrase_fingerprint,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_packing": packing.op8_packing,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_url_rules": url_rules.op10_url_rules,
