@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexsieve.llm import (
     bpe_codec,
     chat_format,
+    context_tree,
     ngram_join,
     packing,
     phrase_fingerprint,
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_phrase_fingerprint": phrase_fingerprint.op4_phrase_fingerprint,
+    "op5_context_tree": context_tree.op5_context_tree,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_packing": packing.op8_packing,
