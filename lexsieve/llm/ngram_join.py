@@ -204,34 +204,41 @@ def _columns(docs: DataFrame, sketch: np.ndarray, how: Join) -> DataFrame:
 
 
 def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
-    """s1, s2, grams of the distinct sets in wanted (s1, s2): the rows of the incidence whose overlaps are counted.
+    """s1, s2, grams of the distinct sets in wanted (s1, s2, id: a document that has the set): the rows
+    of the incidence whose overlaps are counted.
 
-    A bitmap of fixed size keeps most other rows from the shuffle; whatever passes it by chance is not joined.
+    A bitmap of fixed size over the ids keeps most other texts from being cut into
+    shingles; whatever passes it by chance is not joined.
     """
     bits = 24
     pack = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
+    def slots(ids: pa.Array) -> np.ndarray:
+        # A null id, the id of sets that only nameless documents have, counts as 0.
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return (mix(values + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << bits, dtype=bool)
         for batch in batches:
-            found[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+            found[slots(batch.column(0))] = True
         parts = np.split(np.packbits(found), CHUNKS)
         yield batch_of(pack, [list(range(CHUNKS)), [zlib.compress(p.tobytes(), 1) for p in parts]])
 
-    bitmap = merged(wanted.select("s1").mapInArrow(mark, pack), np.bitwise_or, "uint8")
+    bitmap = merged(wanted.select("id").mapInArrow(mark, pack), np.bitwise_or, "uint8")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = T.StructType([*NODE, T.StructField("grams", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value)
+        known = np.unpackbits(shared.value).astype(bool)
         seen: set[tuple[int, int]] = set()
         if not len(known):
             return
-        for _, texts in slices(batches):
+        few = (batch.filter(pa.array(known[slots(batch.column(0))])) for batch in batches)
+        for _, texts in slices(few):
             sets, nodes = [], []
             for g in shingle_sets(texts, how.n):
-                m = signature(g)
-                if len(g) and known[(m[0] & (2**64 - 1)) >> (64 - bits)] and m not in seen:
+                if len(g) and (m := signature(g)) not in seen:
                     seen.add(m)
                     sets.append(g)
                     nodes.append(m)
@@ -242,8 +249,8 @@ def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values, type=pa.list_(item))
                 yield batch_of(schema, [[m[0] for m in nodes], [m[1] for m in nodes], lists])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return checkpoint(rows.join(wanted, ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return rows.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column, how: Join) -> Column:
@@ -253,8 +260,10 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, how: Join) -> Colum
     return sizes & (n - pos >= least) & (m - at >= least)
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b: struct<s1, s2>) whose counted overlap reaches the threshold."""
+def _linked(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+    """u, v of the pairs (a, b: struct<s1, s2>; u, v: their ids) whose counted overlap reaches the threshold."""
+    ends = [pairs.select(f"{x}.s1", f"{x}.s2", F.col(i).alias("id")) for x, i in (("a", "u"), ("b", "v"))]
+    rows = checkpoint(_full_rows(docs, checkpoint(ends[0].union(ends[1]).distinct()), how))
 
     def side(name: str) -> DataFrame:
         return rows.select(F.struct("s1", "s2").alias(name), F.col("grams").alias(f"{name}_grams"))
@@ -262,7 +271,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, how: Join) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
     union = F.size("a_grams") + F.size("b_grams") - overlap
-    return both.filter(how.whole * overlap >= how.part * union).select("a", "b")
+    return both.filter(how.whole * overlap >= how.part * union).select("u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,28 +310,21 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """
     sets, sketch = _sets(docs, how)
     nodes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    node = F.struct("s1", "s2")
     column = Window.partitionBy("gram")
-    # Copies read by several tasks give equal rows: one is kept.
+    # Copies read by several tasks give equal rows: one is kept. One shuffle serves both steps.
     shared = (
         _columns(docs, sketch, how)
+        .repartition(F.col("gram"))
         .groupBy("gram", "s1", "s2")
         .agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-        .withColumns({"many": F.count("*").over(column), "node": node})
+        .withColumn("many", F.count("*").over(column))
         .filter("many > 1")
-        .select("gram", "node", "n", "pos")
+        .drop("many")
     )
-    shared = checkpoint(shared)
-    rows = _full_rows(docs, shared.select("node.s1", "node.s2").distinct(), how)
-    names = nodes.select(node.alias("node"), "id")
-
-    def named(found: DataFrame) -> DataFrame:
-        a = names.select(F.col("node").alias("a"), F.col("id").alias("u"))
-        b = names.select(F.col("node").alias("b"), F.col("id").alias("v"))
-        return found.join(a, "a").join(b, "b").select("u", "v")
-
     # A column's entries by component; at first every row is its own.
-    open_ = shared.join(names, "node").select("gram", "node", "n", "pos", "id", F.col("id").alias("component"))
+    open_ = shared.join(nodes, ["s1", "s2"]).select(
+        "gram", F.struct("s1", "s2").alias("node"), "n", "pos", "id", F.col("id").alias("component")
+    )
     links, joined = None, None
     for turn in range(how.hub_rounds + 1):
         current = checkpoint(open_)
@@ -330,28 +332,37 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
             break
         if turn < how.hub_rounds:
             # The hub has the fewest rarer n-grams of its own; each round takes the next one.
-            order = Window.partitionBy("gram").orderBy("pos", "n", "id")
+            order = Window.partitionBy("gram").orderBy("pos", "n", "id", "node")
             ranked = current.withColumn("place", F.row_number().over(order))
-            hub = ranked.filter(F.col("place") == 1).select("gram", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos", "component")])
-            pairs = ranked.join(hub, "gram").filter(F.col("hub_component") != F.col("component"))
+            hubs = ranked.filter(F.col("place") == turn + 1)
         else:
-            hub = current.select("gram", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos", "component", "id")])
-            pairs = current.join(hub, "gram").filter(
-                (F.col("hub_component") != F.col("component")) & (F.col("hub_id") < F.col("id"))
-            )
-        pairs = pairs.filter(_may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), how))
+            ranked = hubs = current
+        hub = hubs.select("gram", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos", "id", "component")])
+        pairs = ranked.join(hub, "gram").filter(
+            (F.col("hub_component") != F.col("component"))
+            & _may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), how)
+        )
         # The blocks' counts of a pair are added up; any column in common makes it a candidate.
-        tried = pairs.groupBy(F.col("hub_node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("common"))
-        found = checkpoint(named(_linked(tried.select("a", "b"), rows, how)))
-        links = found if links is None else checkpoint(links.union(found))
-        joined = components(links)
+        first = F.col("hub_node") < F.col("node")
+        tried = pairs.groupBy(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).agg(
+            F.first(F.when(first, F.col("hub_id")).otherwise(F.col("id"))).alias("u"),
+            F.first(F.when(first, F.col("id")).otherwise(F.col("hub_id"))).alias("v"),
+            F.count("*").alias("common"),
+        )
+        tried = checkpoint(tried)
+        if not tried.isEmpty():
+            found = checkpoint(_linked(tried, docs, how))
+            links = found if links is None else checkpoint(links.union(found))
+            joined = components(links)
         if turn == how.hub_rounds:
             break
+        if joined is None:
+            open_ = current
+            continue
         moved = current.drop("component").join(joined, "id", "left")
         moved = moved.withColumn("component", F.coalesce("component", "id"))
-        span = Window.partitionBy("gram")
         open_ = moved.withColumns(
-            {"low": F.min("component").over(span), "high": F.max("component").over(span)}
+            {"low": F.min("component").over(column), "high": F.max("component").over(column)}
         ).filter("low < high").drop("low", "high")
     home = nodes
     if joined is not None:
