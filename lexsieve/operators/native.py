@@ -63,9 +63,7 @@ def raw_hits(docs: DataFrame, terms: DataFrame, key: str, folded: str) -> DataFr
     cut = docs.select(key, folded, letters.alias("letters")).select(
         key,
         folded,
-        F.posexplode(
-            F.zip_with("letters", F.array_repeat(F.lit(""), 0), lambda a, b: a) if k == 1 else _windows(k)
-        ).alias("i", "head"),
+        F.posexplode(_windows(k)).alias("i", "head"),
     )
     return cut.join(heads, "head").filter(F.expr(f"substring({folded}, i + 1, length(term)) = term")).select(key, "i", "term")
 
