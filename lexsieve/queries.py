@@ -339,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT term, string_agg(CAST(n AS VARCHAR), ',' ORDER BY g) AS runs, string_agg(c, '' ORDER BY g) AS squeezed FROM r GROUP BY term""",
         "native_raw_hits": f"WITH {chars}, {folded}, t(term, cat, sev, w) AS ({terms}), p AS (SELECT doc_id, term, list_transform(string_split(folded, term), lambda x: length(x)) AS gaps FROM fd JOIN t ON contains(folded, term)), q AS (SELECT *, unnest(range(1, len(gaps))) AS k FROM p) SELECT doc_id, CAST(list_sum(gaps[1:k]) + (k - 1) * length(term) AS INTEGER) AS i, term FROM q",
         "interval_collapse": _interval_sql([_span_sql("r", "reason = 'match'"), "q AS (SELECT DISTINCT * FROM r)"], ' SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q v WHERE v.doc_id = q.doc_id AND v."end" >= q."end" AND (v.start < q.start OR v.start = q.start AND (v."end" > q."end" OR v.term_id < q.term_id)))'),
-        "interval_islands": _interval_sql([_span_sql("r", "reason IN ('match', 'edge')"), """x AS (SELECT *, CASE WHEN start < max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM r)""", """y AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, term_id ROWS UNBOUNDED PRECEDING) AS g FROM x)"""], ' SELECT doc_id, min(start) AS start, max("end") AS "end" FROM y GROUP BY doc_id, g'),
+        "interval_islands": _interval_sql([_span_sql("each", "reason IN ('match', 'edge')"), "r AS (SELECT DISTINCT * FROM each)", """x AS (SELECT *, CASE WHEN start < max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM r)""", """y AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, term_id ROWS UNBOUNDED PRECEDING) AS g FROM x)"""], ' SELECT doc_id, min(start) AS start, max("end") AS "end" FROM y GROUP BY doc_id, g'),
         "interval_not_overlapping": _interval_sql([_span_sql("r", "s = 1"), _span_sql("v", "s = 0")], ' SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = r.doc_id AND v.start < r."end" AND v."end" > r.start)'),
         "interval_not_contained": _interval_sql([_span_sql("r", "s = 0"), _span_sql("v", "s = 1")], ' SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.doc_id = r.doc_id AND v.start <= r.start AND v."end" >= r."end")'),
         "term_merge_widen": f"WITH {ENTRY_SQL} " + _MERGE.format(word="bool_and", rows="e"),

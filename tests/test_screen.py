@@ -1,0 +1,74 @@
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from lexsieve import queries
+from lexsieve.operators import intervals
+from lexsieve.plans.screen import Screen
+from lexsieve.sources import termpack
+from lexsieve.streaming.screening import screen_stream, windowed_score
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def test_verbs_on_columns_and_in_sql(spark):
+    screen = Screen.default()
+    rows = spark.createDataFrame([("oh damn",), ("",), (None,), ("fine",)], "text string")
+    found = rows.select(screen.detect("text"), screen.score("text"), screen.filter("text"), F.size(screen.scan("text"))).collect()
+    assert [tuple(r) for r in found] == [(True, 1, "oh ****", 1), (False, 0, "", 0), (False, 0, None, 0), (False, 0, "fine", 0)]
+    screen.register(spark, "own")
+    assert spark.sql("SELECT own_filter('what the h.e.l.l')").first()[0] == "what the *******"
+
+
+def test_pack_source_and_writer(spark, tmp_path):
+    termpack.register(spark)
+    path = str(tmp_path / "own.pack")
+    rows = [("term", "foo", "hate", 4, True), ("allow", "food", None, None, None)]
+    spark.createDataFrame(rows, termpack.SCHEMA).write.format("termpack").mode("append").save(path)
+    assert [tuple(r) for r in spark.read.format("termpack").load(path).collect()] == rows
+
+
+def test_streams_screen_as_batches_do(spark, tmp_path):
+    source = str(tmp_path / "in")
+    batch = spark.createDataFrame([("a", "damn it"), ("b", "fine"), ("a", None)], "key string, text string").withColumn("ts", F.timestamp_seconds(F.lit(1000)))
+    batch.write.parquet(source)
+    stream = screen_stream(spark.readStream.schema(batch.schema).parquet(source), "text", Screen.default())
+    query = stream.writeStream.format("memory").queryName("screened").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    own = {tuple(r) for r in screen_stream(batch, "text", Screen.default()).select("key", "flagged", "masked", "score").collect()}
+    assert {tuple(r) for r in spark.sql("SELECT key, flagged, masked, score FROM screened").collect()} == own
+    totals = windowed_score(screen_stream(batch, "text", Screen.default()), "ts", "key", "1 minute", "1 minute").collect()
+    assert {(r["key"], r["score"], r["n_rows"]) for r in totals} == {("a", 1, 2), ("b", 0, 1)}
+
+
+def test_intervals_on_empty_tables(spark):
+    none = spark.createDataFrame([], "k int, start int, end int, t int")
+    one = spark.createDataFrame([(1, 0, 3, 1), (1, 3, 5, 2)], none.schema)
+    assert intervals.islands(none, ["k"]).count() == 0 and intervals.islands(one, ["k"]).count() == 2
+    assert intervals.not_overlapping(one, none, ["k"]).count() == 2 and intervals.not_contained(none, one, ["k"]).count() == 0
+    assert intervals.not_overlapping(one, one.filter("t = 1"), ["k"]).select("t").collect() == [(2,)]
+    assert intervals.collapse_contained(one.union(one), ["k"], "t").count() == 2
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_agree_with_sql(spark, name):
+    link = duckdb.connect()
+    link.execute("SET memory_limit = '4GB'")
+    for t in TABLES:
+        if os.path.exists(f"{SMALL}/{t}.parquet"):
+            link.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    found = queries.queries()[name](spark, SMALL)
+    columns = sorted(found.columns)
+    own = sorted(map(repr, (tuple(r) for r in found.select(columns).collect())))
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    other = sorted(map(repr, link.execute(f"SELECT {quoted} FROM ({queries.oracle_sql()[name]})").fetchall()))
+    assert own == other
