@@ -9,6 +9,7 @@ structured; the others are reported as random.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,7 +81,7 @@ def randomness(value: Column) -> Column:
     p = F.lit(None).cast("double")
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     for _, pattern, alphabet in reversed(ENCODINGS):
-        p = F.when(value.rlike(pattern), let(_codes(value, alphabet), lambda c, k=len(alphabet): _battery(c, k))).otherwise(p)
+        p = F.when(value.rlike(pattern), let(_codes(value, alphabet), _battery_of(len(alphabet)))).otherwise(p)
     return F.when(mixed, p)
 
 
@@ -90,6 +91,11 @@ def _codes(value: Column, alphabet: str) -> Column:
     )
 
 
+def _battery_of(k: int) -> Callable[[Column], Column]:
+    # Not a default argument: a second parameter of a lambda would be given the index.
+    return lambda codes: _battery(codes, k)
+
+
 def _battery(codes: Column, k: int) -> Column:
     n = F.size(codes).cast("double")
     add = lambda a, x: a + x
