@@ -253,11 +253,17 @@ def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
     return rows.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
 
 
-def _may_link(n: Column, pos: Column, m: Column, at: Column, how: Join) -> Column:
-    """Whether sets of sizes n and m whose first common n-gram stands at pos and at can link, by sizes alone."""
+def _may_reach(pair: dict[str, Column], how: Join) -> Column:
+    """Whether a pair's overlap can reach its least, by sizes (n, m), the places of the first common
+    n-gram (pos, at) and the number of common n-grams (common) in both rows' rarest.
+
+    In the row whose rarest end first in rank all common n-grams up to there are counted,
+    so the overlap is at most common plus the rest of that row, ceil(t n) - 1.
+    """
+    n, m = pair["n"], pair["m"]
     least = F.ceil(how.part * (n + m) / F.lit(float(how.part + how.whole)) - 1e-9)
-    sizes = F.least(n, m) * how.whole >= F.greatest(n, m) * how.part
-    return sizes & (n - pos >= least) & (m - at >= least)
+    rest = F.ceil(how.part * F.greatest(n, m) / F.lit(float(how.whole)) - 1e-9) - 1
+    return (n - pair["pos"] >= least) & (m - pair["at"] >= least) & (pair["common"] + rest >= least)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
@@ -330,6 +336,7 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
         current = checkpoint(open_)
         if current.isEmpty():
             break
+        apart = F.col("hub_component") != F.col("component")
         if turn < how.hub_rounds:
             # The hub has the fewest rarer n-grams of its own; each round takes the next one.
             order = Window.partitionBy("gram").orderBy("pos", "n", "id", "node")
@@ -337,18 +344,28 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
             hubs = ranked.filter(F.col("place") == turn + 1)
         else:
             ranked = hubs = current
+            apart &= F.col("hub_node") < F.col("node")
         hub = hubs.select("gram", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos", "id", "component")])
-        pairs = ranked.join(hub, "gram").filter(
-            (F.col("hub_component") != F.col("component"))
-            & _may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), how)
-        )
-        # The blocks' counts of a pair are added up; any column in common makes it a candidate.
+        sizes = F.least("n", "hub_n") * how.whole >= F.greatest("n", "hub_n") * how.part
+        pairs = ranked.join(hub, "gram").filter(apart & sizes)
+        # What the blocks count of a pair is added up; pairs below the bounds are discarded. The
+        # hubs' rounds see part of a pair's columns and may discard too much, the last sees all.
         first = F.col("hub_node") < F.col("node")
-        tried = pairs.groupBy(F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")).agg(
-            F.first(F.when(first, F.col("hub_id")).otherwise(F.col("id"))).alias("u"),
-            F.first(F.when(first, F.col("id")).otherwise(F.col("hub_id"))).alias("v"),
+
+        def sided(name: str, low: bool) -> Column:
+            return F.when(first, F.col(f"hub_{name}" if low else name)).otherwise(F.col(name if low else f"hub_{name}"))
+
+        tried = pairs.groupBy(sided("node", True).alias("a"), sided("node", False).alias("b")).agg(
+            F.first(sided("id", True)).alias("u"),
+            F.first(sided("id", False)).alias("v"),
+            F.first(sided("n", True)).alias("n"),
+            F.first(sided("n", False)).alias("m"),
+            F.min(sided("pos", True)).alias("pos"),
+            F.min(sided("pos", False)).alias("at"),
             F.count("*").alias("common"),
         )
+        bounds = {c: F.col(c) for c in ("n", "m", "pos", "at", "common")}
+        tried = tried.filter(_may_reach(bounds, how)).select("a", "b", "u", "v")
         tried = checkpoint(tried)
         if not tried.isEmpty():
             found = checkpoint(_linked(tried, docs, how))
