@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept, one for each doc_id."""
-    return docs.select(*COLUMNS).join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """The rows of docs whose doc_id is kept; a null doc_id counts as one id."""
+    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
