@@ -9,7 +9,6 @@ structured; the others are reported as random.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,25 +77,26 @@ def tail(z: Column) -> Column:
 def randomness(value: Column) -> Column:
     """p-value that value is drawn uniformly from its encoding's alphabet: the least of the
     three tests, times three; null for a value of words or digits only or of no encoding."""
-    p = F.lit(None).cast("double")
+    alphabet = F.lit(None).cast("string")
+    for _, pattern, letters in reversed(ENCODINGS):
+        alphabet = F.when(value.rlike(pattern), letters).otherwise(alphabet)
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    for _, pattern, alphabet in reversed(ENCODINGS):
-        p = F.when(value.rlike(pattern), let(_codes(value, alphabet), _battery_of(len(alphabet)))).otherwise(p)
-    return F.when(mixed, p)
+    # The alphabet is data, so that the battery stands in the plan once.
+    return let(
+        F.when(mixed, alphabet),
+        lambda a: F.when(
+            a.isNotNull(), let(_codes(value, a), lambda codes: _battery(codes, F.length(a).cast("double")))
+        ),
+    )
 
 
-def _codes(value: Column, alphabet: str) -> Column:
+def _codes(value: Column, alphabet: Column) -> Column:
     return F.transform(
-        F.filter(F.split(value, ""), lambda c: c != ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double")
+        F.filter(F.split(value, ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double")
     )
 
 
-def _battery_of(k: int) -> Callable[[Column], Column]:
-    # Not a default argument: a second parameter of a lambda would be given the index.
-    return lambda codes: _battery(codes, k)
-
-
-def _battery(codes: Column, k: int) -> Column:
+def _battery(codes: Column, k: Column) -> Column:
     n = F.size(codes).cast("double")
     add = lambda a, x: a + x
     zero = F.lit(0.0)
