@@ -278,6 +278,19 @@ def test_tree_is_a_probability_and_likes_what_it_saw():
     assert tree.log10(full).mean() > -0.3
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 4])
+def test_scores_are_those_of_every_counted_pair(spark, docs, depth):
+    train = docs.filter("doc_id % 2 = 0")
+    full, _ = context_tree.grams([lower(r["text"]) for r in train.collect()], depth)
+    entries = [np.unique(full & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(depth + 1)]
+    tree = context_tree.ContextTree.grown(depth, entries)
+    found = context_tree.score_texts(docs, train, context_tree.Scoring(depth=depth, max_entries=8))
+    own = collections.Counter()
+    for r in docs.collect():
+        own[r["doc_id"], round(tree.log10(context_tree.grams([lower(r["text"])], depth)[0]).sum(), 2)] += 1
+    assert collections.Counter((r["doc_id"], round(r["score"], 2)) for r in found.collect()) == own
+
+
 def test_least_count_keeps_within_the_bound():
     assert context_tree.least_count({0: 100, 1: 10, 3: 5}, 15) == 2 and context_tree.least_count({0: 1}, 5) == 1
     assert context_tree.least_count({4: 9}, 5) == 32
