@@ -28,13 +28,12 @@ RULES = (
 class Mining:
     """Limits of the mined rules.
 
-    max_tokens bounds a url's tokens (its commonest by labelled distinct urls, ties
-    by name), so 2^max_tokens / min_support bounds the number of itemsets.
+    A url is mined with all its tokens; those below min_support are in no itemset. The number of
+    itemsets has no other bound: it can double with each token that frequent urls share.
     """
 
     min_support: float = 0.01
     min_confidence: float = 0.8
-    max_tokens: int = 8
     default: str = "allow"
 
 
@@ -72,18 +71,7 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """
     spark = labelled.sparkSession
     urls = labelled.filter(F.size("tokens") > 0).select("url", "tokens", "verdict").distinct()
-    each = urls.select("url", "verdict", F.explode("tokens").alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("n"))
-    kept = (
-        each.join(common, "token")
-        .groupBy("url", "verdict")
-        .agg(
-            F.slice(
-                F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "token"))), 1, mining.max_tokens
-            ).alias("t")
-        )
-        .select(F.concat(F.col("t.token"), F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    )
+    kept = urls.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     kept = checkpoint(kept)
     if kept.isEmpty():
         return spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
@@ -143,8 +131,8 @@ def judge_urls(pages: DataFrame, mining: Mining = Mining(), rules=RULES) -> Data
     """page_id, host, path, rule, verdict, mined for every row of pages (page_id, url).
 
     Null, empty and repeated urls keep their rows; a url without tokens gets the default verdict.
-    Other columns of pages are ignored. Very long urls are matched whole; only
-    mining bounds their tokens. Distinct token sets are matched once, so copies cost nothing.
+    Other columns of pages are ignored. Very long urls are mined and
+    matched whole. Distinct token sets are matched once, so copies cost nothing.
     """
     host, path = split_url(F.col("url"))
     parted = (

@@ -464,6 +464,14 @@ def test_urls_and_rules(spark):
     assert {r["verdict"] for r in url_rules.judge_urls(table.filter("page_id in (5, 6)")).collect()} == {"allow"}
 
 
+def test_rules_of_rarer_tokens_of_long_urls(spark):
+    common = [f"p:c{k}" for k in range(9)]
+    rows = [(f"u{k}", [*common, "p:bad" if k < 8 else "p:good"], "block" if k < 8 else "allow") for k in range(20)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, tokens array<string>, verdict string"), url_rules.Mining(min_support=0.3))
+    found = {(*r["antecedent"], r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
+    assert found == {("p:bad", "block"): (1.0, 0.4), ("p:good", "allow"): (1.0, 0.6)}
+
+
 def test_mined_rules_are_those_of_brute_force(spark):
     draw = random.Random(12)
     rows = []
