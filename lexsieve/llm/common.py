@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +52,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df cut from its lineage by files in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Written:
+    """Tables written as Parquet to the shared folder; each can be removed once nothing reads it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df as it was written: without lineage, so that lost executors cost nothing."""
+        name = f"{self.folder}/{len(self.made)}"
+        df.write.option("compression", "zstd").parquet(name)
+        out = self.spark.read.schema(df.schema).parquet(name)
+        self.made.append((out, name))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df, name in self.made:
+            if any(df is t for t in tables):
+                remove(self.spark, name)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

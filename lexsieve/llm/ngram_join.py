@@ -1,31 +1,38 @@
 """N-gram Jaccard join: a blocked sparse product of document-by-n-gram incidence.
 
-Rows of the incidence are distinct n-gram sets (copies share a row). The product
-is formed block by block of n-grams, over the columns that size-derived bounds leave:
-a pair at threshold t must share an n-gram among the rarest n - ceil(t n) + 1 of each, early
-enough that the rest can still reach the least overlap. Blocks give candidate rows,
-first against one hub a column, then only across components not yet joined; their full
-overlap is counted from the rows themselves. Components are exact.
+Rows of the incidence are distinct n-gram sets (copies share a row), its columns n-grams in order of
+rarity. The product is formed block by block: first over each row's leading columns, which any pair at
+threshold t must meet in (the rarest n - ceil(t n) + 1 of a row), then over all columns for the rows that met, where a
+pair is discarded as soon as its count and what is left of the rows fall below its least overlap.
+
+A column of m rows is never multiplied out. Rows meet one hub a column; those that link
+fall into one component, and later blocks meet across components only. In the last block rows of a column that have the
+same component, size and bound are one class, and only classes within each other's bounds meet.
+Links are exact and so are components.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lexsieve.llm.common import checkpoint, table
+from lexsieve.llm.common import Written, checkpoint, table
 from lexsieve.llm.phrase_fingerprint import MULTIPLIER, mix, powers
 
 SLICE_BYTES = 2_000_000
-CHUNKS = 16
+#: Pieces that a bounded array is dealt into, and how many arrays one task adds up.
+CHUNKS, FAN = 16, 64
+#: Columns of two rows that are multiplied before their bound is looked at.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -33,16 +40,18 @@ class Join:
     """Sets of n-word shingles link when
     whole * |x & y| >= part * |x | y|.
 
-    sketch_bits: log2 of the counters that rank n-grams by rarity. Any ranking gives
-    the same links; a better one gives fewer candidates. hub_rounds: rounds of candidates
-    against one hub a column before all remaining ones are counted.
+    sketch_bits: log2 of the counters that rank n-grams by rarity, or none: one for about 128 bytes of
+    input, 2^24 at most. Any ranking gives the same links; a better one gives fewer candidates.
+    hub_rounds: rounds against one hub a column before classes meet. hot: counted uses from which
+    a column is dealt to several tasks.
     """
 
     n: int = 3
     part: int = 90
     whole: int = 100
-    sketch_bits: int = 20
+    sketch_bits: int | None = None
     hub_rounds: int = 2
+    hot: int = 10_000
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,103 +124,120 @@ def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
     )
 
 
-def merged(chunks: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> np.ndarray:
-    """One array from rows (chunk, data): chunks are combined on the executors by number, then
-    joined on the driver. Its size is fixed by the caller, whatever the input."""
-    schema = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("data", T.BinaryType())])
+PIECE = [T.StructField("task", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("data", T.BinaryType())]
 
-    def fold(rows: pa.Table) -> pa.Table:
+
+def pieces(values: np.ndarray) -> list[list]:
+    """task, chunk, data of an array."""
+    pack = zstandard.ZstdCompressor(1).compress
+    return [[TaskContext.get().partitionId()] * CHUNKS, list(range(CHUNKS)), [pack(x.tobytes()) for x in np.split(values, CHUNKS)]]
+
+
+def merged(rows: DataFrame, tasks: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> np.ndarray:
+    """One array from the pieces() of this many tasks: added up chunk by chunk on the executors, FAN of them
+    in a task, and joined on the driver. Its size is fixed by the caller, whatever the input."""
+    schema = T.StructType(PIECE)
+
+    def fold(found: pa.Table) -> pa.Table:
         total = None
-        for data in rows.column("data"):
-            own = np.frombuffer(zlib.decompress(data.as_py()), dtype=kind)
+        for data in found.column("data"):
+            own = np.frombuffer(zstandard.decompress(data.as_py()), dtype=kind)
             total = own.copy() if total is None else combine(total, own)
-        number = rows.column("chunk")[0].as_py()
-        return pa.Table.from_batches([batch_of(schema, [[number], [zlib.compress(total.tobytes(), 1)]])])
+        first = [found.column(c)[0].as_py() for c in ("task", "chunk")]
+        return pa.Table.from_batches([batch_of(schema, [[first[0] // FAN], [first[1]], [zstandard.ZstdCompressor(1).compress(total.tobytes())]])])
+
+    while True:
+        rows = rows.groupBy("chunk", F.floor(F.col("task") / FAN).alias("few")).applyInArrow(fold, schema)
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    found = {r["chunk"]: np.frombuffer(zstandard.decompress(r["data"]), dtype=kind) for r in rows.select("chunk", "data").collect()}
+    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(CHUNKS, dtype=kind)
+
 
-    rows = chunks.groupBy("chunk").applyInArrow(fold, schema)
-    found = {r["chunk"]: np.frombuffer(zlib.decompress(r["data"]), dtype=kind) for r in rows.collect()}
-    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(0, dtype=kind)
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums that stop at the largest 16-bit number."""
+    return np.where(a > np.uint16(65535) - b, np.uint16(65535), a + b).astype(np.uint16)
 
 
 NODE = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
 
 
-def _sets(docs: DataFrame, how: Join) -> tuple[DataFrame, np.ndarray]:
+def _sets(docs: DataFrame, how: Join, written: Written) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, s1, s2 of every row (n = 0: no set), and the counters by n-gram hash."""
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("n", T.IntegerType()), *NODE,
-         T.StructField("chunk", T.IntegerType()), T.StructField("data", T.BinaryType())]
-    )
-    size = 1 << how.sketch_bits
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.IntegerType()), *NODE, *PIECE])
+    told = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = how.sketch_bits or min(24, max(16, (told // 128).bit_length()))
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
+        counts = np.zeros(size, dtype=np.uint32)
         for keys, texts in slices(batches):
             sets = shingle_sets(texts, how.n)
-            every = np.concatenate(sets)
-            counts += np.bincount((every & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            np.add.at(counts, (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), 1)
             marks = [signature(g) for g in sets]
             none = [None] * len(keys)
-            yield batch_of(schema, [keys, [len(g) for g in sets], [m[0] for m in marks], [m[1] for m in marks], none, none])
-        parts = np.split(counts, CHUNKS)
+            yield batch_of(schema, [keys, [len(g) for g in sets], [m[0] for m in marks], [m[1] for m in marks], none, none, none])
         none = [None] * CHUNKS
-        yield batch_of(schema, [none, none, none, none, list(range(CHUNKS)), [zlib.compress(p.tobytes(), 1) for p in parts]])
+        yield batch_of(schema, [none, none, none, none, *pieces(np.minimum(counts, 65535).astype(np.uint16))])
 
-    rows = checkpoint(docs.select("doc_id", "text").mapInArrow(run, schema))
-    sketch = merged(rows.filter("chunk is not null").select("chunk", "data"), np.add, "int64")
-    return rows.filter("chunk is null").select("doc_id", "n", "s1", "s2"), sketch
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written.table(texts.mapInArrow(run, schema))
+    counts = merged(rows.filter("chunk is not null").select("task", "chunk", "data"), docs.rdd.getNumPartitions(), added, "uint16")
+    return rows.filter("chunk is null").select("doc_id", "n", "s1", "s2"), counts
 
 
 def _columns(docs: DataFrame, sketch: np.ndarray, how: Join) -> DataFrame:
-    """gram, s1, s2, n, pos: the incidence of each distinct set over its rarest n-grams."""
-    schema = T.StructType(
-        [T.StructField("gram", T.LongType()), *NODE, T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())]
-    )
-    # Halved until 16 bits hold the largest: the ranking needs no more.
-    shift = max(0, int(sketch.max(initial=0)).bit_length() - 32)
-    shared = docs.sparkSession.sparkContext.broadcast((sketch >> shift).astype(np.uint32))
+    """gram, salt, s1, s2, n, pos: the incidence of each distinct set over its leading n-grams. salt deals the rows
+    of a column with many counted uses to several tasks; 0 for the others."""
+    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("salt", T.IntegerType()), *NODE, T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        mask = np.uint64(max(1, len(rarity)) - 1)
+        mask = np.uint64(len(rarity) - 1)
         seen: set[tuple[int, int]] = set()
         for _, texts in slices(batches):
-            grams, nodes, sizes, places = [], [], [], []
+            grams, uses, nodes, sizes, places = [], [], [], [], []
             for g in shingle_sets(texts, how.n):
                 if not len(g) or (mark := signature(g)) in seen:
                     continue
                 seen.add(mark)
                 keep = len(g) - -(-how.part * len(g) // how.whole) + 1
-                order = np.argsort(rarity[(g & mask).astype(np.int64)], kind="stable")[:keep]
+                own = rarity[(g & mask).astype(np.int64)]
+                order = np.argsort(own, kind="stable")[:keep]
                 grams.append(g[order])
+                uses.append(own[order])
                 nodes.append(mark)
                 sizes.append(len(g))
                 places.append(keep)
             if grams:
                 times = np.array(places)
+                first = np.repeat(np.array([m[0] for m in nodes]), times)
+                deals = np.concatenate(uses).astype(np.uint64) // np.uint64(how.hot)
+                salt = np.where(deals > 0, mix(first.view(np.uint64)) % (deals + np.uint64(1)) + np.uint64(1), 0)
                 yield batch_of(
                     schema,
                     [
                         pa.array(np.concatenate(grams).view(np.int64)),
-                        pa.array(np.repeat([m[0] for m in nodes], times)),
-                        pa.array(np.repeat([m[1] for m in nodes], times)),
+                        pa.array(salt.astype(np.int32)),
+                        pa.array(first),
+                        pa.array(np.repeat(np.array([m[1] for m in nodes]), times)),
                         pa.array(np.repeat(sizes, times).astype(np.int32)),
                         pa.array(np.concatenate([np.arange(k) for k in places]).astype(np.int32)),
                     ],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
-    """s1, s2, grams of the distinct sets in wanted (s1, s2, id: a document that has the set): the rows
-    of the incidence whose overlaps are counted.
+    """s1, s2, grams of the distinct sets of the documents wanted (id), and of some others.
 
-    A bitmap of fixed size over the ids keeps most other texts from being cut into
-    shingles; whatever passes it by chance is not joined.
+    A bitmap, of about 16 bits an id and 2^28 at most, keeps the other texts from being cut into shingles.
     """
-    bits = 24
-    pack = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    bits = min(28, max(16, (16 * wanted.count()).bit_length()))
+    tasks = wanted.rdd.getNumPartitions()
 
     def slots(ids: pa.Array) -> np.ndarray:
         # A null id, the id of sets that only nameless documents have, counts as 0.
@@ -222,18 +248,15 @@ def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
         found = np.zeros(1 << bits, dtype=bool)
         for batch in batches:
             found[slots(batch.column(0))] = True
-        parts = np.split(np.packbits(found), CHUNKS)
-        yield batch_of(pack, [list(range(CHUNKS)), [zlib.compress(p.tobytes(), 1) for p in parts]])
+        yield batch_of(T.StructType(PIECE), pieces(np.packbits(found)))
 
-    bitmap = merged(wanted.select("id").mapInArrow(mark, pack), np.bitwise_or, "uint8")
+    bitmap = merged(wanted.select("id").mapInArrow(mark, T.StructType(PIECE)), tasks, np.bitwise_or, "uint8")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = T.StructType([*NODE, T.StructField("grams", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
         seen: set[tuple[int, int]] = set()
-        if not len(known):
-            return
         few = (batch.filter(pa.array(known[slots(batch.column(0))])) for batch in batches)
         for _, texts in slices(few):
             sets, nodes = [], []
@@ -249,35 +272,65 @@ def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values, type=pa.list_(item))
                 yield batch_of(schema, [[m[0] for m in nodes], [m[1] for m in nodes], lists])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    return rows.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.dropDuplicates(["s1", "s2"])
 
 
-def _may_reach(pair: dict[str, Column], how: Join) -> Column:
-    """Whether a pair's overlap can reach its least, by sizes (n, m), the places of the first common
-    n-gram (pos, at) and the number of common n-grams (common) in both rows' rarest.
+def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
+    """How many columns two rows share (each ascending), counted block by block; -1 as soon as fewer than least can be."""
+    if len(a) > len(b):
+        a, b = b, a
+    count = 0
+    for at in range(0, len(a), BLOCK):
+        block = a[at : at + BLOCK]
+        if count + len(a) - at < least:
+            return -1
+        place = np.searchsorted(b, block)
+        place[place == len(b)] = 0
+        count += int((b[place] == block).sum())
+    return count if count >= least else -1
+
+
+def _most(n: Column | str, pos: Column | str, how: Join) -> Column:
+    """The largest set that a row of n columns can link with, if the first column they share is its pos-th."""
+    return F.expr(f"int((({n} - {pos}) * {how.whole + how.part}L) div {how.part} - {n})")
 
-    In the row whose rarest end first in rank all common n-grams up to there are counted,
-    so the overlap is at most common plus the rest of that row, ceil(t n) - 1.
-    """
-    n, m = pair["n"], pair["m"]
-    least = F.ceil(how.part * (n + m) / F.lit(float(how.part + how.whole)) - 1e-9)
-    rest = F.ceil(how.part * F.greatest(n, m) / F.lit(float(how.whole)) - 1e-9) - 1
-    return (n - pair["pos"] >= least) & (m - pair["at"] >= least) & (pair["common"] + rest >= least)
 
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: Join, written: Written) -> DataFrame:
+    """u, v of the pairs (u, v) whose overlap over all columns reaches the threshold. u is the hub, whose row meets many."""
 
-def _linked(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """u, v of the pairs (a, b: struct<s1, s2>; u, v: their ids) whose counted overlap reaches the threshold."""
-    ends = [pairs.select(f"{x}.s1", f"{x}.s2", F.col(i).alias("id")) for x, i in (("a", "u"), ("b", "v"))]
-    rows = checkpoint(_full_rows(docs, checkpoint(ends[0].union(ends[1]).distinct()), how))
+    def ends(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("s1", "s2", "id")])
 
-    def side(name: str) -> DataFrame:
-        return rows.select(F.struct("s1", "s2").alias(name), F.col("grams").alias(f"{name}_grams"))
+    named = written.table(pairs.join(ends("u"), "u").join(ends("v"), "v"))
+    wanted = written.table(named.select(F.col("u_id").alias("id")).union(named.select("v_id")).distinct())
+    rows = written.table(_full_rows(docs, wanted, how))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    union = F.size("a_grams") + F.size("b_grams") - overlap
-    return both.filter(how.whole * overlap >= how.part * union).select("u", "v")
+    def row(name: str) -> DataFrame:
+        return rows.select(F.col("s1").alias(f"{name}_s1"), F.col("s2").alias(f"{name}_s2"), F.col("grams").alias(f"{name}_grams"))
+
+    both = (
+        named.drop("u_id", "v_id")
+        .join(row("v"), ["v_s1", "v_s2"])
+        .select("u", "v", "u_s1", "u_s2", "v_grams")
+        .join(row("u"), ["u_s1", "u_s2"])
+        .select("u", "v", "u_grams", "v_grams")
+    )
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("u_grams"), batch.column("v_grams")
+            keep = []
+            for a, b in zip(x, y, strict=True):
+                a, b = (g.values.to_numpy().view(np.uint64) for g in (a, b))
+                least = -(-how.part * (len(a) + len(b)) // (how.part + how.whole))
+                keep.append(overlap(a, b, least) >= 0)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    links = written.table(both.mapInArrow(run, schema))
+    written.drop(named, wanted, rows)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -304,90 +357,107 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); other columns are ignored.
+def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """entries with the component of their node; a node without links is its own."""
+    if labels is None:
+        return entries.withColumn("component", F.col("node"))
+    own = labels.select(F.col("id").alias("node"), "component")
+    return entries.join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    component_id is the least doc_id reachable by links, itself included. A null,
-    empty or blank text has no shingles and links with nothing. Repeated rows and copies
-    share a set and so a component. A null doc_id is never a component's name unless all of its
-    copies have none. An empty table gives no rows. No set of
-    all links, components or documents comes to the driver; broadcasts are the
-    counters (4 * 2^sketch_bits bytes) and a bitmap (2 MB).
-    """
-    sets, sketch = _sets(docs, how)
-    nodes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
-    column = Window.partitionBy("gram")
+
+def _hubs(entries: DataFrame, how: Join, written: Written) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u: a column's hub, v) within their bounds, and the entries but the hubs of all columns that
+    still hold two components. The hub has the fewest rarer columns of its own, so most others are near it."""
+    hubs = written.table(
+        entries.groupBy("gram")
+        .agg(F.min(F.struct("pos", "n", "node", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high")
+        .select("gram", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("pos", "n", "node", "component")])
+    )
+    met = written.table(entries.join(hubs, "gram").filter("node != hub_node"))
+    written.drop(hubs)
+    fits = (F.col("hub_component") != F.col("component")) & (F.col("hub_n") <= _most("n", "pos", how)) & (F.col("n") <= _most("hub_n", "hub_pos", how))
+    return met.filter(fits).select(F.col("hub_node").alias("u"), F.col("node").alias("v")).distinct(), met
+
+
+def _classes(entries: DataFrame, how: Join, written: Written) -> DataFrame:
+    """Pairs (u, v) of all entries of a column that lie in two components and within each other's bounds."""
+    entries = written.table(entries.withColumn("most", _most("n", "pos", how)))
+    key = ["gram", "component", "n", "most"]
+    classes = written.table(entries.groupBy(*key).agg(F.count("*").alias("rows")))
+
+    def band(size: str) -> Column:
+        # Sets that link are less than two bands apart.
+        return F.floor(F.log(F.col(size).cast("double")) / float(np.log(how.whole / how.part) + 1e-9)).cast("int")
+
+    def side(name: str) -> list[Column]:
+        return [F.col(c).alias(f"{name}_{c}") for c in key[1:]]
+
+    # The smaller set of a pair must itself be within the other's reach at its own size.
+    small = classes.filter("most >= n").select("gram", F.explode(F.sequence(band("n"), band("most"))).alias("band"), *side("u"))
+    large = classes.select("gram", band("n").alias("band"), *side("v"))
+    fits = "u_component != v_component and u_n <= v_n and v_n <= u_most and u_n <= v_most and (u_n < v_n or u_component < v_component)"
+    met = written.table(small.join(large, ["gram", "band"]).filter(fits).drop("band"))
+
+    def rows(name: str) -> DataFrame:
+        return entries.select("gram", F.col("node").alias(name), *side(name))
+
+    pairs = met.join(rows("u"), ["gram", *[f"u_{c}" for c in key[1:]]]).join(rows("v"), ["gram", *[f"v_{c}" for c in key[1:]]])
+    return pairs.select("u", "v").distinct()
+
+
+def _joined(docs: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """sets (doc_id, n, s1, s2 of every row) and nodes (s1, s2, node, component) of the distinct sets."""
+    written = Written(docs.sparkSession)
+    sets, sketch = _sets(docs, how, written)
+    found = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
+    nodes = written.table(found.withColumn("node", F.monotonically_increasing_id()))
     # Copies read by several tasks give equal rows: one is kept. One shuffle serves both steps.
     shared = (
         _columns(docs, sketch, how)
-        .repartition(F.col("gram"))
-        .groupBy("gram", "s1", "s2")
+        .repartition(F.col("gram"), F.col("salt"))
+        .groupBy("gram", "salt", "s1", "s2")
         .agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-        .withColumn("many", F.count("*").over(column))
-        .filter("many > 1")
-        .drop("many")
-    )
-    # A column's entries by component; at first every row is its own.
-    open_ = shared.join(nodes, ["s1", "s2"]).select(
-        "gram", F.struct("s1", "s2").alias("node"), "n", "pos", "id", F.col("id").alias("component")
+        .withColumn("many", F.count("*").over(Window.partitionBy("gram", "salt")))
+        .filter("many > 1 or salt > 0")
     )
-    links, joined = None, None
+    entries = written.table(shared.join(nodes.drop("id"), ["s1", "s2"]).select("gram", "node", "n", "pos"))
+    links, labels = None, None
     for turn in range(how.hub_rounds + 1):
-        current = checkpoint(open_)
-        if current.isEmpty():
-            break
-        apart = F.col("hub_component") != F.col("component")
+        open_ = _labelled(entries, labels)
         if turn < how.hub_rounds:
-            # The hub has the fewest rarer n-grams of its own; each round takes the next one.
-            order = Window.partitionBy("gram").orderBy("pos", "n", "id", "node")
-            ranked = current.withColumn("place", F.row_number().over(order))
-            hubs = ranked.filter(F.col("place") == turn + 1)
+            pairs, met = _hubs(open_, how, written)
         else:
-            ranked = hubs = current
-            apart &= F.col("hub_node") < F.col("node")
-        hub = hubs.select("gram", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "pos", "id", "component")])
-        sizes = F.least("n", "hub_n") * how.whole >= F.greatest("n", "hub_n") * how.part
-        pairs = ranked.join(hub, "gram").filter(apart & sizes)
-        # What the blocks count of a pair is added up; pairs below the bounds are discarded. The
-        # hubs' rounds see part of a pair's columns and may discard too much, the last sees all.
-        first = F.col("hub_node") < F.col("node")
-
-        def sided(name: str, low: bool) -> Column:
-            return F.when(first, F.col(f"hub_{name}" if low else name)).otherwise(F.col(name if low else f"hub_{name}"))
-
-        tried = pairs.groupBy(sided("node", True).alias("a"), sided("node", False).alias("b")).agg(
-            F.first(sided("id", True)).alias("u"),
-            F.first(sided("id", False)).alias("v"),
-            F.first(sided("n", True)).alias("n"),
-            F.first(sided("n", False)).alias("m"),
-            F.min(sided("pos", True)).alias("pos"),
-            F.min(sided("pos", False)).alias("at"),
-            F.count("*").alias("common"),
-        )
-        bounds = {c: F.col(c) for c in ("n", "m", "pos", "at", "common")}
-        tried = tried.filter(_may_reach(bounds, how)).select("a", "b", "u", "v")
-        tried = checkpoint(tried)
-        if not tried.isEmpty():
-            found = checkpoint(_linked(tried, docs, how))
-            links = found if links is None else checkpoint(links.union(found))
-            joined = components(links)
-        if turn == how.hub_rounds:
+            pairs, met = _classes(open_, how, written), entries
+        pairs = written.table(pairs)
+        if not pairs.isEmpty():
+            fresh = _linked(pairs, nodes, docs, how, written)
+            links = fresh if links is None else links.union(fresh)
+            labels = components(links)
+        written.drop(entries, pairs)
+        entries = met.select("gram", "node", "n", "pos")
+        if turn < how.hub_rounds and met.isEmpty():
             break
-        if joined is None:
-            open_ = current
-            continue
-        moved = current.drop("component").join(joined, "id", "left")
-        moved = moved.withColumn("component", F.coalesce("component", "id"))
-        open_ = moved.withColumns(
-            {"low": F.min("component").over(column), "high": F.max("component").over(column)}
-        ).filter("low < high").drop("low", "high")
-    home = nodes
-    if joined is not None:
-        home = nodes.join(joined, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
+    return sets, _labelled(nodes, labels)
+
+
+def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); other columns are ignored.
+
+    component_id is the least doc_id reachable by links, itself included. A null,
+    empty or blank text has no shingles and links with nothing. Repeated rows and copies
+    share a set and so a component. Rows without a doc_id link like others; only a component that
+    has no doc_id at all has a null one. A text of any length is one row. An empty table gives no rows. No set of
+    all links, components or documents comes to the driver; broadcasts are the
+    counters (2 bytes each) and a bitmap (32 MB at most).
+    """
+    sets, nodes = _joined(docs, how)
+    least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
+    home = nodes.join(least, "component").select("s1", "s2", "component_id")
     return sets.join(home, ["s1", "s2"], "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 

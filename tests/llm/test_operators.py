@@ -334,7 +334,7 @@ def slow_components(rows, how):
     return {k: (len(sets[k]), home[k]) for k in sets}
 
 
-@pytest.mark.parametrize("how", [ngram_join.Join(hub_rounds=1), ngram_join.Join(2, 60, 100, 4, 0)])
+@pytest.mark.parametrize("how", [ngram_join.Join(hub_rounds=1), ngram_join.Join(2, 60, 100, 4, 0), ngram_join.Join(3, 70, 100, hub_rounds=0, hot=2)])
 def test_components_agree_with_brute_force(spark, docs, nothing, how):
     draw = random.Random(8)
     stem = [f"w{k}" for k in range(60)]
