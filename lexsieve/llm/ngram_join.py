@@ -13,10 +13,12 @@ Links are exact and so are components.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -231,33 +233,37 @@ def _columns(docs: DataFrame, sketch: np.ndarray, how: Join) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
-    """s1, s2, grams of the distinct sets of the documents wanted (id), and of some others.
+def _slots(ids: pa.Array, bits: int) -> np.ndarray:
+    """Where a bitmap holds these ids; a null id counts as 0."""
+    values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return (mix(values + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    A bitmap, of about 16 bits an id and 2^28 at most, keeps the other texts from being cut into shingles.
-    """
-    bits = min(28, max(16, (16 * wanted.count()).bit_length()))
-    tasks = wanted.rdd.getNumPartitions()
 
-    def slots(ids: pa.Array) -> np.ndarray:
-        # A null id, the id of sets that only nameless documents have, counts as 0.
-        values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return (mix(values + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A packed bitmap of a column of ids and log2 of its size: about 16 bits an id, 2^28 in all at most."""
+    bits = min(28, max(16, (16 * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << bits, dtype=bool)
         for batch in batches:
-            found[slots(batch.column(0))] = True
+            found[_slots(batch.column(0), bits)] = True
         yield batch_of(T.StructType(PIECE), pieces(np.packbits(found)))
 
-    bitmap = merged(wanted.select("id").mapInArrow(mark, T.StructType(PIECE)), tasks, np.bitwise_or, "uint8")
+    rows = ids.mapInArrow(mark, T.StructType(PIECE))
+    return merged(rows, rows.rdd.getNumPartitions(), np.bitwise_or, "uint8"), bits
+
+
+def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
+    """s1, s2, grams of the distinct sets of the documents wanted (id), and of some others: a bitmap of the ids
+    keeps most other texts from being cut into shingles."""
+    bitmap, bits = _bitmap(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = T.StructType([*NODE, T.StructField("grams", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)
         seen: set[tuple[int, int]] = set()
-        few = (batch.filter(pa.array(known[slots(batch.column(0))])) for batch in batches)
+        few = (batch.filter(pa.array(known[_slots(batch.column(0), bits)])) for batch in batches)
         for _, texts in slices(few):
             sets, nodes = [], []
             for g in shingle_sets(texts, how.n):
@@ -461,5 +467,47 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) without all but one of each component: the one of the least
+    doc_id stays, the last being none; among rows of one doc_id that of the least signature, and among
+    equal rows any one. Rows without a set all stay. Only rows that may go are shuffled with their text.
+    An empty table gives none.
+    """
+    sets, nodes = _joined(docs, how)
+    written = Written(docs.sparkSession)
+    rows = sets.filter("n > 0").groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("times"))
+    rows = written.table(rows.join(nodes.select("s1", "s2", "component"), ["s1", "s2"]))
+    chosen = rows.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "s1", "s2")).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("s1") == F.col("first.s1")) & (F.col("s2") == F.col("first.s2"))
+    judged = written.table(rows.join(chosen, "component").select("doc_id", "s1", "s2", "times", same.alias("stays")))
+    bitmap, bits = _bitmap(judged.filter("not stays or times > 1").select("doc_id").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def in_doubt(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.unpackbits(shared.value)[_slots(pa.Array.from_pandas(ids, type=pa.int64()), bits)].astype(bool))
+
+    names = [f"_{c}_{uuid.uuid4().hex}" for c in ("s1", "s2", "n")]
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in names]])
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                few = batch.slice(at, 1000)
+                found = shingle_sets([(t.as_py() or "").encode() for t in few.column(text)], how.n)
+                marks = [signature(g) for g in found]
+                more = [pa.array(c, pa.int64()) for c in ([m[0] for m in marks], [m[1] for m in marks], [len(g) for g in found])]
+                yield pa.RecordBatch.from_arrays([*few.columns, *more], schema.names)
+
+    doubt = in_doubt(docs["doc_id"].cast("long"))
+    signed = docs.filter(doubt).mapInArrow(run, schema)
+    verdict = judged.filter("stays").select(F.col("doc_id").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
+    alike = signed["doc_id"].eqNullSafe(verdict["_id"]) & (signed[names[0]] == verdict["_s1"]) & (signed[names[1]] == verdict["_s2"])
+    stays = signed.filter(F.col(names[2]) > 0).join(verdict, alike, "left_semi").dropDuplicates(["doc_id", *names[:2]])
+    bare = signed.filter(F.col(names[2]) == 0)
+    return docs.filter(~doubt).unionByName(stays.drop(*names)).unionByName(bare.drop(*names))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexsieve.llm.common import checkpoint, held_out, table
+from lexsieve.llm.common import held_out, table
 
 # Common words of four languages.
 COMMON = frozenset(
@@ -43,7 +43,7 @@ N_FEATURES = len(BYTE_CLASSES) + 9
 
 @dataclass(frozen=True)
 class Learning:
-    """max_sample bounds the positives and the unlabelled rows that the network is fitted to
+    """max_sample bounds the positives and the unlabelled texts that the network is fitted to
     (those with the smallest hashes of their ids); all rows are scored."""
 
     max_sample: int = 20_000
@@ -88,22 +88,9 @@ def features(text: str, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, features array<float> of every row; a null text counts as empty."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.ArrayType(T.FloatType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = class_matrix()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = [features(t.as_py() or "", classes) for t in part.column(1)]
-                values = pa.array(np.concatenate(rows), pa.float32())
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * N_FEATURES)
-                lists = pa.ListArray.from_arrays(offsets, values)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def feature_rows(texts: pa.Array, classes: np.ndarray) -> np.ndarray:
+    """features() of these texts; a null text counts as empty."""
+    return np.array([features(t.as_py() or "", classes) for t in texts], dtype=np.float64).reshape(-1, N_FEATURES)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -194,54 +181,73 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, how: Learning = Learning
     return _fit(positive, unlabelled, prior, how), prior
 
 
+def least_hashes(ids: DataFrame, most: int) -> DataFrame:
+    """The distinct doc_ids of the least hashes, at most this many.
+
+    Ids are counted first and all but about the share that is needed filtered by hash, so that what is
+    sorted does not grow with the input.
+    """
+    key = F.xxhash64("doc_id")
+    share = 1.5 * most / max(1, ids.count())
+    if share < 1:
+        ids = ids.filter(key < int(-(2**63) + share * 2**64))
+    return ids.select("doc_id").distinct().orderBy(key, "doc_id").limit(most)
+
+
+def sample_features(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
+    """Features of a text each of at most this many of the ids. The ids are broadcast: 8 bytes each."""
+    schema = T.StructType([T.StructField("features", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = class_matrix()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feature_rows(batch.column(0), classes)], pa.binary())], ["features"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(least_hashes(ids, most)), "doc_id")
+    # Of rows with one doc_id the least text: the same in every run.
+    rows = picked.groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(run, schema).collect()
+    return np.array([np.frombuffer(x) for x in sorted(r["features"] for r in rows)]).reshape(-1, N_FEATURES)
+
+
 def score_quality(
-    docs: DataFrame, positive_ids: DataFrame, unlabelled_ids: DataFrame, how: Learning = Learning()
+    docs: DataFrame, positive_ids: DataFrame, unlabelled_ids: DataFrame, how: Learning = Learning(), carried: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """doc_id, score, prior for every row of docs (doc_id, text); other columns are ignored.
+    """The carried columns, score and prior for every row of docs (doc_id, text); other columns are ignored.
+    No carried column may be named score or prior.
 
     positive_ids and unlabelled_ids hold the doc_id to learn from. Null and empty
-    texts are scored too, repeated rows alike. Without rows to learn from all scores
-    are 0.5; an empty table gives no rows. The texts are read once: features are
-    written, then joined with the ids to fit, and scored where they lie.
+    texts are scored too, repeated rows alike, a text of any length as one. Without rows to learn from all scores
+    are 0.5; an empty table gives no rows. Rows are scored where they lie: no text but those of the sample is shuffled.
     """
-    rows = checkpoint(text_features(docs))
-
-    def sample(ids: DataFrame) -> np.ndarray:
-        key = F.xxhash64("doc_id")
-        picked = rows.join(ids.select("doc_id").distinct(), "doc_id").orderBy(key, "doc_id", "features")
-        found = picked.select("features").limit(how.max_sample).toPandas()["features"]
-        return np.array(found.tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-
-    net, prior = train(sample(positive_ids), sample(unlabelled_ids), how)
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("prior", T.DoubleType())]
-    )
+    net, prior = train(sample_features(docs, positive_ids, how.max_sample), sample_features(docs, unlabelled_ids, how.max_sample), how)
+    out = docs.select(*carried, F.col("text").alias("_read"))
+    schema = T.StructType([*out.schema[:-1], T.StructField("score", T.DoubleType()), T.StructField("prior", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = class_matrix()
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
-            found = np.full(len(x), 0.5) if net is None else net.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found), pa.array(np.full(len(x), prior))], schema.names
-            )
+            for at in range(0, batch.num_rows, 1000):
+                few = batch.slice(at, 1000)
+                found = np.full(few.num_rows, 0.5) if net is None else net.score(feature_rows(few.columns[-1], classes))
+                yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(found), pa.array(np.full(len(found), prior))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return out.mapInArrow(run, schema)
 
 
-def learn_from(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trusted positives and unlabelled ids among the labels that may be learnt from.
+def learn_from(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id of trusted positives, by the labels that may be learnt from, and of the unlabelled: all other
+    documents outside the held-out fold, whatever label they have.
 
-    The unlabelled are the labelled rows with the label put aside. A doc_id labelled
-    twice is positive only if every label says so.
+    A doc_id labelled twice is positive only if every label says so; one that is null is not learnt from.
     """
-    seen = labels.filter(~held_out(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull())
-    each = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return each.filter("quality = 1").select("doc_id"), each.select("doc_id")
+    seen = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)
+    each = labels.filter(seen).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return each.filter("quality = 1").select("doc_id"), docs.filter(seen).select("doc_id")
 
 
 def op1_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_quality(docs, *learn_from(table(spark, sf_dir, "labels")))
+    scored = score_quality(docs, *learn_from(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), 3, 1).alias("held_out"),

@@ -6,6 +6,7 @@ several languages by Jensen-Shannon distance. Short texts are not judged.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,27 +32,38 @@ CLASS_REFERENCES = {
     "es": (0.795, 0.165, 0.018, 0.002, 0.019, 0.0005, 0.0005),
 }
 
-# Common words of each language with rounded uses in a thousand words.
+# Common words of each language with rounded uses in a thousand words; all other words make up the rest.
 WORD_REFERENCES = {
-    "en": {"the": 62, "of": 31, "and": 28, "to": 26, "in": 20, "a": 22, "is": 10, "that": 11},
-    "de": {"der": 32, "die": 33, "und": 28, "in": 18, "den": 13, "von": 10, "zu": 11, "das": 11},
-    "fr": {"de": 50, "la": 28, "le": 25, "et": 22, "les": 20, "des": 16, "en": 14, "un": 13},
-    "es": {"de": 60, "la": 36, "que": 30, "el": 28, "en": 26, "y": 25, "a": 20, "los": 17},
-}
+    "en": {"the": 62, "of": 31, "and": 28, "to": 26, "a": 22, "in": 20, "that": 11, "is": 10,
+           "it": 9, "for": 9, "was": 9, "on": 7, "with": 7, "as": 7, "be": 6, "by": 5},
+    "de": {"die": 33, "der": 32, "und": 28, "in": 18, "den": 13, "zu": 11, "das": 11, "von": 10,
+           "mit": 9, "ist": 9, "sich": 8, "des": 8, "auf": 8, "nicht": 8, "für": 7, "im": 7},
+    "fr": {"de": 50, "la": 28, "le": 25, "et": 22, "les": 20, "des": 16, "en": 14, "un": 13,
+           "du": 12, "une": 11, "que": 9, "est": 9, "pour": 8, "qui": 8, "dans": 8, "par": 6},
+    "es": {"de": 60, "la": 36, "que": 30, "el": 28, "en": 26, "y": 25, "a": 20, "los": 17,
+           "se": 13, "del": 13, "las": 11, "un": 10, "por": 10, "con": 9, "no": 9, "una": 8},
+}
+VOCABULARY = sorted({w for row in WORD_REFERENCES.values() for w in row})
+
+
+def word_shares(uses: dict[str, int]) -> list[float]:
+    """A reference by VOCABULARY, other words last."""
+    return [*(float(uses.get(w, 0)) for w in VOCABULARY), 1000.0 - sum(uses.values())]
 
 
 @dataclass(frozen=True)
 class Rules:
     """Limits. A text is judged by its characters from min_chars on, by its words
-    from min_common common words on; distances are between 0 and 1."""
+    from min_judged words on; distances are between 0 and 1. A text without any common word is 0.346
+    from the nearest reference, so the limit for words lies just below."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
     min_chars: int = 200
-    min_common: int = 40
+    min_judged: int = 100
     max_class_distance: float = 0.2
-    max_word_distance: float = 0.6
+    max_word_distance: float = 0.33
 
 
 def repeated_words(tokens: Column, window: int = 5) -> Column:
@@ -122,16 +134,8 @@ def divergence(counts: Column, reference: list[float]) -> Column:
     return let(counts, distance)
 
 
-def judge_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
-    word_distance, base_failed, kept (kept columns of docs with these names are replaced).
-
-    A null text is a text without words: it fails. Texts under the length guards
-    are kept if the counting rules keep them; their distances are null. Rows are judged
-    one by one (no shuffle), repeated rows alike, an empty table gives none.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_text", whole).withColumn("_words", words(F.col("_text")))
+def class_histogram(text: Column) -> Column:
+    """Characters of each class, other characters last."""
 
     # The count of a class is what its removal takes away; every pattern runs once.
     def shrink(value: Column, patterns: list[str], sizes: list[Column]) -> Column:
@@ -139,48 +143,71 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -
             return F.array(*[(a - b).cast("long") for a, b in zip(sizes, [*sizes[1:], F.lit(0)], strict=True)])
         return let(F.regexp_replace(value, patterns[0], ""), lambda v: shrink(v, patterns[1:], [*sizes, F.length(v)]))
 
-    histogram = let(F.col("_text"), lambda v: shrink(v, [p for _, p in CLASSES], [F.length(v)]))
-    vocabulary = sorted({w for row in WORD_REFERENCES.values() for w in row})
-    longest = max(len(w.encode()) for w in vocabulary)
-    common = F.array_join(
-        F.transform(
-            F.filter("_words", lambda w: (F.octet_length(w) <= longest) & F.lower(w).isin(*vocabulary)),
-            lambda w: F.concat(F.lit(" "), F.lower(w), F.lit(" ")),
-        ),
-        "",
-    )
-    uses = let(
-        common,
-        lambda s: F.array(
-            *[((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in vocabulary]
-        ),
-    )
-    out = out.withColumns({"_classes": histogram, "_uses": uses}).withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": (F.length("_text") - F.col("_classes")[1]).cast("long"),
-            "n_symbols": F.col("_classes")[5],
-            "n_dup_lines": duplicate_lines(F.col("_text")),
-            "n_repeat_words": repeated_words(F.col("_words"), rules.window),
-            "_common": F.aggregate("_uses", F.lit(0).cast("long"), lambda x, y: x + y),
-        }
-    )
-    class_distance = F.least(*[divergence(F.col("_classes"), list(r)) for r in CLASS_REFERENCES.values()])
-    word_distance = F.least(
-        *[divergence(F.col("_uses"), [float(r.get(w, 0)) for w in vocabulary]) for r in WORD_REFERENCES.values()]
-    )
-    out = out.withColumns(
-        {
-            "class_distance": F.when(F.length("_text") >= rules.min_chars, class_distance),
-            "word_distance": F.when(F.col("_common") >= rules.min_common, word_distance),
-            "base_failed": (F.col("n_words") < rules.min_words)
-            | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
-        }
+    return shrink(text, [p for _, p in CLASSES], [F.length(text)])
+
+
+def word_histogram(tokens: Column) -> Column:
+    """Uses of each word of VOCABULARY, other words last."""
+    longest = max(len(w.encode()) for w in VOCABULARY)
+    common = F.transform(
+        F.filter(tokens, lambda w: (F.octet_length(w) <= longest) & F.lower(w).isin(*VOCABULARY)),
+        lambda w: F.concat(F.lit(" "), F.lower(w), F.lit(" ")),
     )
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance
+
+    def uses(said: Column, word: str) -> Column:
+        return ((F.length(said) - F.length(F.replace(said, F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("long")
+
+    def counted(found: Column) -> Column:
+        rest = (F.size(tokens) - F.size(found)).cast("long")
+        return let(F.array_join(found, ""), lambda said: F.array(*[uses(said, w) for w in VOCABULARY], rest))
+
+    return let(common, counted)
+
+
+#: What judge_quality adds.
+VERDICT = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept",
+)
+
+
+def judge_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
+    word_distance, base_failed, kept (columns of docs with these names are replaced, all others kept).
+
+    A null text is a text without words: it fails. Texts under the length guards
+    are kept if the counting rules keep them; their distances are null. Rows are judged
+    one by one (no shuffle), a text of any length as one, repeated rows alike, an empty table gives none.
+    """
+
+    def measured(t: Column, w: Column, classes: Column) -> Column:
+        class_distance = F.least(*[divergence(classes, list(r)) for r in CLASS_REFERENCES.values()])
+        word_distance = let(
+            word_histogram(w), lambda uses: F.least(*[divergence(uses, word_shares(r)) for r in WORD_REFERENCES.values()])
+        )
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            (F.length(t) - classes[1]).cast("long").alias("word_chars"),
+            classes[5].alias("n_symbols"),
+            duplicate_lines(t).alias("n_dup_lines"),
+            repeated_words(w, rules.window).alias("n_repeat_words"),
+            F.when(F.length(t) >= rules.min_chars, class_distance).alias("class_distance"),
+            F.when(F.size(w) >= rules.min_judged, word_distance).alias("word_distance"),
+        )
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+        near = (F.coalesce(m["class_distance"], F.lit(0.0)) <= rules.max_class_distance) & (
+            F.coalesce(m["word_distance"], F.lit(0.0)) <= rules.max_word_distance
+        )
+        return F.struct(*[m[c].alias(c) for c in VERDICT[:-2]], failed.alias("base_failed"), (~failed & near).alias("kept"))
+
+    # One value bound once: whatever filters or picks columns of it later, the text is read once.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    verdict = let(whole, lambda t: let(words(t), lambda w: let(class_histogram(t), lambda c: let(measured(t, w, c), judged))))
+    own = f"verdict_{uuid.uuid4().hex}"
+    return docs.withColumn(own, verdict).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in VERDICT], *[F.col(own)[c].alias(c) for c in VERDICT]
     )
-    return out.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_words", "_classes", "_uses", "_common")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,12 +232,13 @@ def _sql_distance(counts: str, reference: list[float]) -> str:
 
 def oracle_sql(rules: Rules = Rules()) -> str:
     """DuckDB SQL for op2: windows are grouped by their words, not hashed."""
-    vocabulary = sorted({w for row in WORD_REFERENCES.values() for w in row})
     removed = [f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for _, p in CLASSES]
     every = "[" + ", ".join([*removed, f"length(t) - ({' + '.join(f'({x})' for x in removed)})"]) + "]"
-    uses = "[" + ", ".join(f"len(list_filter(ws, lambda x: lower(x) = '{w}'))" for w in vocabulary) + "]"
+    said = [f"len(list_filter(ws, lambda x: lower(x) = '{w}'))" for w in VOCABULARY]
+    others = ", ".join(f"'{w}'" for w in VOCABULARY)
+    uses = "[" + ", ".join([*said, f"len(list_filter(ws, lambda x: lower(x) NOT IN ({others})))"]) + "]"
     near = ", ".join(_sql_distance("classes", list(r)) for r in CLASS_REFERENCES.values())
-    said = ", ".join(_sql_distance("uses", [float(r.get(w, 0)) for w in vocabulary]) for r in WORD_REFERENCES.values())
+    far = ", ".join(_sql_distance("uses", word_shares(r)) for r in WORD_REFERENCES.values())
     n = rules.window
     return rf"""
 WITH d AS (
@@ -233,7 +261,7 @@ WITH d AS (
     CAST(r AS BIGINT) AS n_repeat_words,
     len(ws) < {rules.min_words} OR 100 * r > {rules.max_repeat_percent} * len(ws) AS base_failed,
     CASE WHEN length(t) >= {rules.min_chars} THEN least({near}) END AS class_distance,
-    CASE WHEN list_sum(uses) >= {rules.min_common} THEN least({said}) END AS word_distance
+    CASE WHEN len(ws) >= {rules.min_judged} THEN least({far}) END AS word_distance
   FROM c
 )
 SELECT *, NOT base_failed AND coalesce(class_distance, 0) <= {rules.max_class_distance}

@@ -72,6 +72,29 @@ def test_pu_features_of_odd_texts():
         assert np.isfinite(pu_classifier.features(text, classes)).all()
 
 
+def test_pu_query_ranks_held_out_documents_and_ignores_their_labels(spark, tmp_path):
+    source = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{source}/{t}.parquet") for t in ("documents", "labels"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels.withColumn("quality", F.when(kept_out, 1 - F.col("quality")).otherwise(F.col("quality"))).write.parquet(f"{tmp_path}/labels.parquet")
+    found = pu_classifier.op1_pu_classifier(spark, source).collect()
+    assert sorted(found) == sorted(pu_classifier.op1_pu_classifier(spark, str(tmp_path)).collect())
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    good, bad = ([r["score"] for r in found if r["held_out"] and quality.get(r["doc_id"]) == k] for k in (1, 0))
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
+
+
+def test_pu_sample_is_bounded_and_the_same(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
+    first = {r[0] for r in pu_classifier.least_hashes(ids, 50).collect()}
+    every = ids.orderBy(F.xxhash64("doc_id")).limit(50).collect()
+    assert first == {r[0] for r in every}
+    assert {r[0] for r in pu_classifier.least_hashes(ids.union(ids).repartition(7), 50).collect()} <= first
+    assert pu_classifier.least_hashes(ids, 9000).count() == 3000
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
@@ -117,6 +140,17 @@ def test_quality_rules_reject_signs_and_capitals_and_keep_prose(spark):
     assert [r["kept"] for r in quality_rules.judge_quality(rows).orderBy("doc_id").collect()] == [True, False, False]
 
 
+def test_quality_rules_keep_other_columns_and_judge_rare_words(spark):
+    draw = random.Random(3)
+    strange = " ".join("".join(draw.choice("aeioulnrst") for _ in range(7)) for _ in range(300))
+    said = ["the", "of", "and", "to", "a", "in", "that", "is", *(f"{a}{b}{c}e" for a in "bdfgk" for b in "aeiou" for c in "lmnrst")]
+    long = " ".join(draw.choice(said[: draw.choice([8, 150])]) + draw.choice(["", "", "", "."]) for _ in range(600_000))
+    rows = spark.createDataFrame([(1, strange, "x", 7), (2, long, "y", 8), (2, long, "y", 8)], "doc_id long, text string, _words string, kept int")
+    found = quality_rules.judge_quality(rows).select("doc_id", "_words", "kept", "word_distance", "n_words").collect()
+    assert sorted((r["doc_id"], r["_words"], r["kept"]) for r in found) == [(1, "x", False), (2, "y", True), (2, "y", True)]
+    assert max(r["n_words"] for r in found) > 500_000 and found[0]["word_distance"] > 0.33
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
@@ -359,6 +393,39 @@ def test_join_of_odd_tables(spark, docs, nothing):
     assert {r["component_id"] for r in found if r["doc_id"] is None} == {None}
 
 
+def test_overlap_counts_by_blocks():
+    draw = np.random.default_rng(4)
+    for size in (1, 30, 5000):
+        a, b = (np.unique(draw.integers(0, size * 2, size).astype(np.uint64)) for _ in range(2))
+        own = len(np.intersect1d(a, b))
+        assert ngram_join.overlap(a, b, 0) == own == ngram_join.overlap(b, a, own) and ngram_join.overlap(a, b, own + 1) == -1
+
+
+def test_pieces_of_many_tasks_add_up(spark):
+    schema = ngram_join.T.StructType(ngram_join.PIECE)
+
+    def run(batches):
+        for _ in batches:
+            pass
+        yield ngram_join.batch_of(schema, ngram_join.pieces(np.arange(64, dtype=np.uint16) * 10))
+
+    rows = spark.range(150).repartition(150).mapInArrow(run, schema)
+    assert ngram_join.merged(rows, 150, ngram_join.added, "uint16").tolist() == [min(65535, 1500 * k) for k in range(64)]
+
+
+def test_links_of_nameless_documents_and_one_row_of_each(spark, nothing):
+    stem = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, stem), (None, stem), (None, stem + " x"), (7, stem + " y"), (9, stem + " y"), (9, stem + " y"), (9, "else"), (9, None), (9, None), (None, "alone"), (3, ""), (4, "b c d e f g h")]
+    docs = spark.createDataFrame([(k, t, i, "s") for i, (k, t) in enumerate(rows)], "doc_id long, text string, s1 int, stays string").repartition(3)
+    found = collections.Counter((r["doc_id"], r["component_id"]) for r in ngram_join.join_components(docs).collect())
+    assert found == {(None, 7): 3, (7, 7): 1, (9, 7): 2, (9, 9): 3, (None, None): 1, (3, 3): 1, (4, 4): 1}
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    own = [(7, stem + " y"), (9, "else"), (9, None), (9, None), (None, "alone"), (3, ""), (4, "b c d e f g h")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(own)
+    assert ngram_join.one_of_each(nothing).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 101)], "u long, v long")
     found = {r["id"]: r["component"] for r in ngram_join.components(links).collect()}
