@@ -21,6 +21,9 @@ class Stream:
     gap: np.ndarray
     run: np.ndarray
 
+    def take(self, at: np.ndarray) -> Stream:
+        return Stream(*(getattr(self, c)[at] for c in self.__slots__))
+
     def text(self) -> str:
         return self.chars.astype("<u4").tobytes().decode("utf-32-le")
 
@@ -35,7 +38,8 @@ class Normalizer:
     def points(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
-    def stream(self, points: np.ndarray) -> Stream:
+    def stream(self, points: np.ndarray, marks: np.ndarray | None = None) -> Stream:
+        """marks: places of the characters that part several texts; a gap lies on either side of each."""
         known = np.minimum(points, fold.LIMIT - 1)
         kind = np.where(points < fold.LIMIT, self.kind[known], fold.HARD)
         kept = np.flatnonzero(kind >= fold.SOFT)
@@ -47,13 +51,21 @@ class Normalizer:
         breaks = np.cumsum(kind == fold.BREAK)[source]
         gap = np.ones(len(source), dtype=bool)
         gap[1:] = breaks[1:] != breaks[:-1]
+        if marks is not None and len(marks):
+            at = np.searchsorted(source, marks)
+            gap[at] = True
+            gap[np.minimum(at + 1, len(gap) - 1)] = True
         return Stream(chars, source, source + 1, kind[source] == fold.HARD, gap, np.ones(len(source), dtype=np.int64))
 
     @staticmethod
-    def squeezed(s: Stream) -> Stream | None:
-        """Runs of one character as one; none where there is no run."""
+    def squeezed(s: Stream, marks: np.ndarray | None = None) -> Stream | None:
+        """Runs of one character as one, none across a mark; none where there is no run."""
         new = np.ones(len(s), dtype=bool)
         new[1:] = s.chars[1:] != s.chars[:-1]
+        if marks is not None and len(marks):
+            at = np.searchsorted(s.start, marks)
+            new[at] = True
+            new[np.minimum(at + 1, len(new) - 1)] = True
         first = np.flatnonzero(new)
         if len(first) == len(s):
             return None

@@ -147,16 +147,15 @@ d AS (SELECT DISTINCT id, a, z, term_id, term, cat, sev FROM cand WHERE reason =
 o AS (
   SELECT *, max(z) OVER (PARTITION BY id ORDER BY a, z DESC, term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM d
 ),
-m AS (SELECT * FROM o {kept}),
-u AS (
-  SELECT id, cp, CAST(sum(CASE WHEN unicode(c) > 65535 THEN 2 ELSE 1 END) OVER (PARTITION BY id ORDER BY cp) AS INTEGER) AS units FROM ch
-)"""
+m AS (SELECT * FROM o {kept})"""
 
 
-MATCHES = """
-SELECT m.id AS doc_id, CAST(coalesce(v.units, 0) AS INTEGER) AS start, u.units AS "end", term, cat,
+#: Code units of a text's first {n} code points: one more for each beyond U+FFFF.
+UNITS = r"{n} + length(regexp_replace(substr(src.text, 1, {n}), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))"
+MATCHES = f"""
+SELECT m.id AS doc_id, CAST({UNITS.format(n='a')} AS INTEGER) AS start, CAST({UNITS.format(n='z')} AS INTEGER) AS "end", term, cat,
   CAST(sev AS INTEGER) AS sev, CAST(a AS INTEGER) AS cp_start, CAST(z AS INTEGER) AS cp_end
-FROM m JOIN u ON u.id = m.id AND u.cp = z - 1 LEFT JOIN u v ON v.id = m.id AND v.cp = a - 1
+FROM m JOIN src ON src.id = m.id
 """
 
 

@@ -1,10 +1,13 @@
-"""Scanning one text: candidates of both streams, rules, intervals, order.
+"""Scanning texts: candidates of both streams, rules, intervals, order.
 
-Pure arrays: every step is linear in the text and in the candidates, but for sorting them.
+Pure arrays: every step is linear in the texts and in the candidates, but for sorting them. Many texts are
+scanned as one, parted by marks that no pattern holds: places grow from text to text, so that
+intervals of two texts never meet, and one pass of each automaton serves all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +22,10 @@ MATCH, EDGE, INNER_GAP, RUNS, ALLOWED, PRECEDED = range(6)
 REASONS = ("match", "edge", "inner_gap", "runs", "allowed", "preceded")
 
 
+#: Characters that are scanned as one; a longer text is scanned alone.
+SLICE_CHARS = 500_000
+
+
 @dataclass(frozen=True)
 class Found:
     """Parallel arrays over candidates; start and end are code points."""
@@ -33,6 +40,20 @@ class Found:
         return Found(self.start[at], self.end[at], self.term[at], self.stream[at], self.reason[at])
 
 
+@dataclass(frozen=True)
+class Slice:
+    """Some texts as one: their code points, where each begins and where the marks are."""
+
+    texts: list[str]
+    points: np.ndarray
+    begins: np.ndarray
+    marks: np.ndarray
+
+    def rows(self, found: Found) -> np.ndarray:
+        """The number of each candidate's text."""
+        return np.searchsorted(self.begins, found.start, "right") - 1
+
+
 class Spans:
     """Intervals by start, with the furthest end so far: containment and overlap by binary search."""
 
@@ -85,34 +106,45 @@ class Engine:
             self.allow.add(word)
         for automaton in (self.plain, self.allow, self.squeezed):
             automaton.build()
+        held = set().union(*(t[0] for t in terms), *allow)
+        self.mark = next(c for c in map(chr, range(0x10FFFF, fold.LIMIT, -1)) if c not in held)
 
-    def candidates(self, text: str | None) -> Found:
+    def slices(self, texts: list[str | None]) -> Iterator[Slice]:
+        """The texts in order, some at a time; a null counts as empty."""
+        few: list[str] = []
+        size = 0
+        for k, text in enumerate(texts):
+            few.append(text or "")
+            size += len(few[-1]) + 1
+            if size >= SLICE_CHARS or k + 1 == len(texts):
+                ends = np.cumsum([len(t) + 1 for t in few])
+                points = self.normalizer.points(self.mark.join(few))
+                yield Slice(few, points, np.concatenate([[0], ends[:-1]]), ends[:-1] - 1)
+                few, size = [], 0
+
+    def candidates_of(self, part: Slice) -> Found:
         """All occurrences of terms in both streams, with what became of each."""
         none = np.zeros(0, dtype=np.int64)
         empty = Found(none, none, none, none, none)
-        if not text:
+        plain = self.normalizer.stream(part.points, part.marks)
+        if not len(plain):
             return empty
-        points = self.normalizer.points(text)
-        plain = self.normalizer.stream(points)
-        squeezed = self.normalizer.squeezed(plain) if self.policy.repeat_tolerance else None
-        streams = [s for s in (plain, squeezed) if s is not None]
+        squeezed = self._squeezed(plain, part)
         first = self._judged(plain, 0)
         second = self._judged(squeezed, 1) if squeezed is not None else empty
         if not len(first.start) and not len(second.start):
             return empty
-        spans = [np.concatenate(x) for x in zip(*(self._allowed(s) for s in streams), strict=True)]
-        allowed = Spans(*spans)
+        allowed = self._all_allowed([s for s in (plain, squeezed) if s is not None], part, [first, second])
         for found in (first, second):
-            held = (found.reason == MATCH) & allowed.containing(found.start, found.end)
-            found.reason[held] = ALLOWED
+            found.reason[(found.reason == MATCH) & allowed.containing(found.start, found.end)] = ALLOWED
         ahead = first.reason == MATCH
         met = Spans(first.start[ahead], first.end[ahead]).overlapping(second.start, second.end)
         second.reason[(second.reason == MATCH) & met] = PRECEDED
         return Found(*(np.concatenate(x) for x in zip(*(vars(f).values() for f in (first, second)), strict=True)))
 
-    def scan(self, text: str | None) -> Found:
+    def scan_of(self, part: Slice) -> Found:
         """The matches by start, then longest first, then term."""
-        found = self.candidates(text)
+        found = self.candidates_of(part)
         found = found.take(found.reason == MATCH)
         order = np.lexsort((found.term, -found.end, found.start))
         found = found.take(order)
@@ -124,28 +156,71 @@ class Engine:
             found = found.take(found.end > before)
         return found
 
-    def mask(self, text: str | None) -> str | None:
-        found = self.scan(text)
+    def detect_of(self, part: Slice) -> np.ndarray:
+        """Whether each text has a match. A text with a match in the plain stream is not looked at in the other, and no match is
+        put in order."""
+        flags = np.zeros(len(part.texts), dtype=bool)
+        plain = self.normalizer.stream(part.points, part.marks)
+        if not len(plain):
+            return flags
+        squeezed = self._squeezed(plain, part)
+        both = [s for s in (plain, squeezed) if s is not None]
+        for number, stream in enumerate(both):
+            if flags.any():
+                stream = stream.take(~flags[np.searchsorted(part.begins, stream.start, "right") - 1])
+            found = self._judged(stream, number)
+            found = found.take(found.reason == MATCH)
+            if len(found.start):
+                allowed = self._all_allowed(both, part, [found])
+                flags[part.rows(found)[~allowed.containing(found.start, found.end)]] = True
+        return flags
+
+    def masks_of(self, part: Slice, found: Found) -> list[str]:
+        """The texts with every stretch of matches masked."""
+        out = list(part.texts)
         if not len(found.start):
-            return text
+            return out
         reach = np.maximum.accumulate(found.end)
         opens = np.concatenate([[True], found.start[1:] >= reach[:-1]])
         starts, ends = found.start[opens], np.append(reach[:-1][opens[1:]], reach[-1])
-        out, at = [], 0
-        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            out.append(text[at:start])
-            if self.policy.mask_token is not None:
-                out.append(self.policy.mask_token)
-            else:
-                out.append(self.policy.mask_char * (len(text[start:end].encode("utf-16-le")) // 2))
-            at = end
-        return "".join([*out, text[at:]])
+        row = np.searchsorted(part.begins, starts, "right") - 1
+        low = part.begins[row]
+        units = utf16_offsets(part.points)
+        cut = zip(row.tolist(), (starts - low).tolist(), (ends - low).tolist(), (units[ends] - units[starts]).tolist(), strict=True)
+        pieces: dict[int, list[str]] = {}
+        last: dict[int, int] = {}
+        token, char = self.policy.mask_token, self.policy.mask_char
+        for k, start, end, size in cut:
+            pieces.setdefault(k, []).extend((part.texts[k][last.get(k, 0) : start], char * size if token is None else token))
+            last[k] = end
+        for k, told in pieces.items():
+            out[k] = "".join((*told, part.texts[k][last[k] :]))
+        return out
+
+    def scores_of(self, part: Slice, found: Found) -> np.ndarray:
+        scores = np.zeros(len(part.texts), dtype=np.int64)
+        join = np.maximum if self.policy.score_mode is ScoreMode.MAX else np.add
+        join.at(scores, part.rows(found), self.severity[found.term])
+        return scores
+
+    # --- one text --------------------------------------------------------------------------------
+
+    def candidates(self, text: str | None) -> Found:
+        return self.candidates_of(next(self.slices([text])))
+
+    def scan(self, text: str | None) -> Found:
+        return self.scan_of(next(self.slices([text])))
+
+    def detect(self, text: str | None) -> bool:
+        return bool(self.detect_of(next(self.slices([text])))[0])
+
+    def mask(self, text: str | None) -> str | None:
+        part = next(self.slices([text]))
+        return None if text is None else self.masks_of(part, self.scan_of(part))[0]
 
     def score(self, found: Found) -> int:
         severity = self.severity[found.term]
-        if self.policy.score_mode is ScoreMode.MAX:
-            return int(severity.max(initial=0))
-        return int(severity.sum())
+        return int(severity.max(initial=0) if self.policy.score_mode is ScoreMode.MAX else severity.sum())
 
     def utf16(self, text: str, found: Found) -> tuple[np.ndarray, np.ndarray]:
         if text.isascii() or not len(found.start):
@@ -153,6 +228,25 @@ class Engine:
         units = utf16_offsets(self.normalizer.points(text))
         return units[found.start], units[found.end]
 
+    def _squeezed(self, plain: Stream, part: Slice) -> Stream | None:
+        """The squeezed stream of the texts that have a run."""
+        whole = self.normalizer.squeezed(plain, part.marks) if self.policy.repeat_tolerance else None
+        if whole is None or not len(part.marks):
+            return whole
+        row = np.searchsorted(part.begins, whole.start, "right") - 1
+        long = np.zeros(len(part.texts), dtype=bool)
+        long[row[whole.run > 1]] = True
+        return whole if long.all() else whole.take(long[row])
+
+    def _all_allowed(self, streams: list[Stream], part: Slice, found: list[Found]) -> Spans:
+        """Spans of allowed words in the texts that hold what was found."""
+        wanted = np.zeros(len(part.texts), dtype=bool)
+        for f in found:
+            wanted[part.rows(f)] = True
+        if 2 * wanted.sum() < len(wanted):
+            streams = [s.take(wanted[np.searchsorted(part.begins, s.start, "right") - 1]) for s in streams]
+        return Spans(*(np.concatenate(x) for x in zip(*map(self._allowed, streams), strict=True)))
+
     def _allowed(self, s: Stream) -> tuple[np.ndarray, np.ndarray]:
         hits = np.array(self.allow.scan(s.text()), dtype=np.int64).reshape(-1, 3)
         return s.start[hits[:, 0]], s.end[hits[:, 1]]

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import sys
+import types
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexsieve.functions.streams import utf16_offsets
 from lexsieve.operators.dictionary import Dictionary
-from lexsieve.plans.engine import REASONS, Engine
+from lexsieve.plans.engine import REASONS, Engine, Found, Slice
 from lexsieve.plans.policy import Policy
 from lexsieve.sources.documents import Preset
 
@@ -20,7 +26,7 @@ CANDIDATE_TYPE = "array<struct<cp_start:int,cp_end:int,term_id:int,stream:int,re
 class Screen:
     """A dictionary under a policy. Verbs take a text column and give a column; nothing is shuffled.
 
-    A null or empty text is clean: detect false, scan empty, filter the text itself, score 0.
+    A null or empty text is clean: detect false, scan empty, filter the text itself (null for null), score 0.
     """
 
     def __init__(self, dictionary: Dictionary, policy: Policy | None = None) -> None:
@@ -49,17 +55,11 @@ class Screen:
         return len(self.dictionary)
 
     def maker(self) -> Callable[[], Engine]:
-        """A function that makes the engine, once a worker process."""
+        """A function that gives the engine: made once a worker process, whichever tasks and verbs ask for it."""
         terms = [(t.text, t.category_name, t.severity, t.word) for t in self.dictionary.terms.values()]
         allow, policy = sorted(self.dictionary.allow), self.policy
-        held: list[Engine] = []
-
-        def engine() -> Engine:
-            if not held:
-                held.append(Engine(terms, allow, policy))
-            return held[0]
-
-        return engine
+        name = hashlib.sha256(repr((terms, allow, policy)).encode()).hexdigest()
+        return lambda: held(name, lambda: Engine(terms, allow, policy))
 
     def scan(self, text: str | Column) -> Column:
         """The matches in order, array of struct: start and end in UTF-16 units, cp_start and cp_end in code points."""
@@ -78,50 +78,104 @@ class Screen:
     def score(self, text: str | Column) -> Column:
         return self.udf("score")(text)
 
+    def verdict(self, text: str | Column) -> Column:
+        """struct<matches, flagged, masked, score>: all verbs by one scan."""
+        return self.udf("verdict")(text)
+
     def udf(self, verb: str) -> Callable:
         """The verb as a function of a text column."""
         make = self.maker()
-        one, kind = {
-            "scan": (_matches, MATCH_TYPE),
-            "candidates": (_candidates, CANDIDATE_TYPE),
-            "detect": (lambda engine, text: len(engine.scan(text).start) > 0, "boolean"),
-            "filter": (lambda engine, text: engine.mask(text), "string"),
-            "score": (lambda engine, text: engine.score(engine.scan(text)), "int"),
-        }[verb]
+        one, kind = VERBS[verb]
         arrow = _arrow(kind)
 
         def run(texts: pa.Array) -> pa.Array:
             engine = make()
-            return pa.array([one(engine, t.as_py()) for t in texts], arrow)
+            found = [one(engine, part, arrow) for part in engine.slices(texts.to_pylist())]
+            whole = pa.concat_arrays(found) if found else pa.array([], arrow)
+            return _nulls_kept(whole, texts, arrow) if verb == "filter" else whole
 
         return F.arrow_udf(run, kind)
 
     def register(self, spark: SparkSession, prefix: str = "screen") -> None:
-        """The verbs as SQL functions: screen_detect(text) and so on."""
+        """The verbs as SQL functions, screen_detect(text) and so on, and the matches as a table function for
+        LATERAL joins: screen_matches(text), a row a match."""
         for verb in ("detect", "scan", "filter", "score"):
             spark.udf.register(f"{prefix}_{verb}", self.udf(verb))
+        make = self.maker()
+
+        class Matches:
+            def eval(self, text: str) -> Iterator[tuple]:
+                engine = make()
+                part = next(engine.slices([text]))
+                yield from (tuple(m.values()) for m in _matches(engine, part, engine.scan_of(part), _arrow(MATCH_TYPE))[0].as_py())
+
+        spark.udtf.register(f"{prefix}_matches", F.udtf(Matches, returnType=MATCH_TYPE.removeprefix("array<struct<").removesuffix(">>").replace(":", " ")))
+
+
+def held(name: str, make: Callable[[], Engine]) -> Engine:
+    """The worker process's engine of this name. The store is a module of its own, as functions that are sent to
+    executors come with globals of their own each time."""
+    store = sys.modules.setdefault("_held_engines", types.ModuleType("_held_engines")).__dict__
+    if name not in store:
+        for other in [k for k in store if not k.startswith("_")][:-7]:
+            del store[other]
+        store[name] = make()
+    return store[name]
+
+
+def _grouped(part: Slice, found: Found, order: np.ndarray, values: pa.StructArray) -> pa.ListArray:
+    """The values, which are in this order of the found, as a list a text."""
+    sizes = np.bincount(part.rows(found), minlength=len(part.texts))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values.take(pa.array(order)))
+
+
+def _struct(kind: pa.DataType, columns: list) -> pa.StructArray:
+    fields = list(kind.value_type)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+
+
+def _matches(engine: Engine, part: Slice, found: Found, kind: pa.DataType) -> pa.Array:
+    low = part.begins[part.rows(found)]
+    units = utf16_offsets(part.points)
+    told = [engine.terms[t] for t in found.term.tolist()]
+    columns = [
+        units[found.start] - units[low], units[found.end] - units[low], [t[0] for t in told],
+        [str(engine.category[t]) for t in found.term.tolist()], [t[1] for t in told], [t[2] for t in told],
+        found.term, found.start - low, found.end - low,
+    ]
+    return _grouped(part, found, np.arange(len(low)), _struct(kind, columns)).cast(kind)
+
+
+def _candidates(engine: Engine, part: Slice, kind: pa.DataType) -> pa.Array:
+    found = engine.candidates_of(part)
+    row = part.rows(found)
+    low = part.begins[row]
+    columns = [found.start - low, found.end - low, found.term, found.stream, [REASONS[r] for r in found.reason.tolist()]]
+    return _grouped(part, found, np.argsort(row, kind="stable"), _struct(kind, columns)).cast(kind)
+
+
+def _verdict(engine: Engine, part: Slice, kind: pa.DataType) -> pa.Array:
+    found = engine.scan_of(part)
+    matches = _matches(engine, part, found, kind.field("matches").type)
+    flags = pa.array(np.bincount(part.rows(found), minlength=len(part.texts)) > 0)
+    columns = [matches, flags, pa.array(engine.masks_of(part, found), pa.string()), pa.array(engine.scores_of(part, found), pa.int32())]
+    return pa.StructArray.from_arrays(columns, fields=list(kind))
+
+
+def _nulls_kept(values: pa.Array, texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pc.if_else(pc.is_null(texts), pa.scalar(None, kind), values)
 
 
-def _matches(engine: Engine, text: str | None) -> list[dict]:
-    found = engine.scan(text)
-    starts, ends = engine.utf16(text or "", found)
-    rows = []
-    for k, t in enumerate(found.term.tolist()):
-        name, category, severity, _ = engine.terms[t]
-        rows.append(
-            {
-                "start": int(starts[k]), "end": int(ends[k]), "term": name, "cat": str(engine.category[t]),
-                "cat_name": category, "sev": severity, "term_id": t,
-                "cp_start": int(found.start[k]), "cp_end": int(found.end[k]),
-            }
-        )
-    return rows
-
-
-def _candidates(engine: Engine, text: str | None) -> list[dict]:
-    found = engine.candidates(text)
-    rows = zip(*(x.tolist() for x in vars(found).values()), strict=True)
-    return [{"cp_start": a, "cp_end": b, "term_id": t, "stream": s, "reason": REASONS[r]} for a, b, t, s, r in rows]
+#: By verb: a function of the engine, a slice and the Arrow type, and the type.
+VERBS: dict[str, tuple[Callable, str]] = {
+    "scan": (lambda e, part, kind: _matches(e, part, e.scan_of(part), kind), MATCH_TYPE),
+    "candidates": (_candidates, CANDIDATE_TYPE),
+    "detect": (lambda e, part, kind: pa.array(e.detect_of(part)), "boolean"),
+    "filter": (lambda e, part, kind: pa.array(e.masks_of(part, e.scan_of(part)), kind), "string"),
+    "score": (lambda e, part, kind: pa.array(e.scores_of(part, e.scan_of(part)), pa.int32()), "int"),
+    "verdict": (_verdict, f"struct<matches:{MATCH_TYPE},flagged:boolean,masked:string,score:int>"),
+}
 
 
 def excerpt(text: Column, match: Column) -> Column:

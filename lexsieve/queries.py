@@ -15,6 +15,7 @@ from lexsieve.operators.dictionary import Dictionary
 from lexsieve.plans.policy import Category, Policy, ScoreMode
 from lexsieve.plans.screen import Screen, excerpt
 from lexsieve.sources import languages, pack
+from lexsieve.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +42,7 @@ def base() -> Dictionary:
 
 
 def texts(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, sf_dir, table)
 
 
 def evasive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,8 @@ def _scan(screen: Screen) -> Query:
 
 def _verdicts(screen: Screen) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return evasive(spark, sf_dir).select("doc_id", screen.detect("text").alias("detected"), screen.score("text").alias("score"))
+        told = evasive(spark, sf_dir).select("doc_id", screen.verdict("text").alias("v"))
+        return told.select("doc_id", F.col("v.flagged").alias("detected"), "v.score")
 
     return run
 

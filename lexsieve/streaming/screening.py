@@ -9,15 +9,10 @@ from lexsieve.plans.screen import Screen
 
 
 def screen_stream(rows: DataFrame, text: str, screen: Screen) -> DataFrame:
-    """rows with matches, flagged, masked and score. Stateless: each row as in batch, in append mode."""
-    return rows.withColumns(
-        {
-            "matches": screen.scan(text),
-            "flagged": screen.detect(text),
-            "masked": screen.filter(text),
-            "score": screen.score(text),
-        }
-    )
+    """rows with matches, flagged, masked and score, by one scan. Stateless: each row as in batch, in append
+    mode. masked is empty for a null text."""
+    told = "_screened"
+    return rows.withColumn(told, screen.verdict(text)).select("*", f"{told}.*").drop(told)
 
 
 def windowed_score(screened: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:

@@ -117,3 +117,26 @@ def test_every_term_is_found_and_every_harmless_word_is_needed():
     for word in d.allow:
         assert not len(e.scan(word).start), word
         assert (e.candidates(word).reason != MATCH).any() or fold.squeeze(word) != word
+
+
+def test_many_texts_are_scanned_like_each():
+    draw = random.Random(21)
+    parts = ["damn", " ", "hell", "o", "l", "l", "sh", "\U0010FFFF", "😀", "d a", "mn", "-", "idiot", "D@", "", "ａ", "goddamn", "debugger"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(3000)] + [None, "", "l" * 50, "hell", "hell"]
+    for policy in (Policy(), Policy(repeat_tolerance=False), Policy(collapse_contained=False, score_mode=ScoreMode.MAX, mask_token="<>")):
+        e = engine(policy)
+        own = [e.scan(t) for t in texts]
+        k = 0
+        for part in e.slices(texts):
+            found, detected = e.scan_of(part), e.detect_of(part)
+            rows, masks, scores = part.rows(found), e.masks_of(part, found), e.scores_of(part, found)
+            raw = e.candidates_of(part)
+            for i, text in enumerate(part.texts):
+                at = rows == i
+                assert (found.start[at] - part.begins[i]).tolist() == own[k].start.tolist() and found.term[at].tolist() == own[k].term.tolist(), text
+                assert (found.end[at] - part.begins[i]).tolist() == own[k].end.tolist()
+                assert detected[i] == (len(own[k].start) > 0) == e.detect(text)
+                assert masks[i] == (e.mask(text) or "") and scores[i] == e.score(own[k])
+                assert sorted(raw.reason[part.rows(raw) == i].tolist()) == sorted(e.candidates(text).reason.tolist())
+                k += 1
+        assert k == len(texts)
