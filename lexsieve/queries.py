@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexsieve import oracle
 from lexsieve.functions import fold
 from lexsieve.operators import dictionary as algebra
-from lexsieve.operators import intervals, native
+from lexsieve.operators import intervals, lists, native
 from lexsieve.operators.dictionary import Dictionary
 from lexsieve.plans.policy import Category, Policy, ScoreMode
 from lexsieve.plans.screen import Screen, excerpt
@@ -247,6 +247,24 @@ def pack_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(back["entries"], "term string, cat_name string, sev int, w boolean")
 
 
+def word_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list out of part names, with a sign and a digit and as single words, without the words of part types."""
+    part = texts(spark, sf_dir, "part")
+    raw = part.select(F.expr("concat('#', upper(p_name), CAST(p_partkey % 8 AS STRING))").alias("word")).union(part.select(F.explode(F.split("p_name", " "))))
+    return lists.import_words(raw, part.select(F.col("p_type").alias("word")))
+
+
+def word_list_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a list made of part names and numbers."""
+    part = texts(spark, sf_dir, "part")
+    terms = part.select(F.expr(FAULTY_TERM).alias("term"), F.expr(FAULTY_CAT).alias("cat_name"), F.expr("CAST(p_size % 7 AS INT)").alias("sev"))
+    return lists.list_problems(terms, part.select(F.expr("concat('x', CAST(p_partkey % 300 AS STRING))").alias("word")))
+
+
+FAULTY_TERM = "CASE WHEN p_partkey % 11 = 0 THEN 'No-' ELSE 'x' END || CAST(p_partkey * 37 % 1000 AS STRING)"
+FAULTY_CAT = "CASE p_partkey % 5 WHEN 0 THEN 'weather' WHEN 1 THEN NULL ELSE 'drug' END"
+
+
 # --- reports on top ---------------------------------------------------------------------------------
 
 
@@ -305,7 +323,7 @@ def queries() -> dict[str, Query]:
         fold_text, squeeze_text, fold_class_histogram, normalized_stream, squeezed_stream, term_runs, native_raw_hits,
         interval_collapse, interval_islands, interval_not_overlapping, interval_not_contained,
         term_merge_widen, term_merge_sticky, term_remove, term_contained,
-        language_catalogue, language_self_check, pack_round_trip,
+        language_catalogue, language_self_check, pack_round_trip, word_import, word_list_problems,
         excerpts, source_category_cube, top_terms, conversation_rollup, toxicity_vs_label, plain_term_audit,
     )
     return out | {f.__name__: f for f in own}
@@ -327,7 +345,25 @@ def oracle_sql() -> dict[str, str]:
     terms = oracle.values([(t.text, t.category_name, t.severity, t.word) for t in base().terms.values()])
     kinds = " ".join(f"WHEN {k} THEN '{name}'" for k, name in ((fold.BREAK, "break"), (fold.SILENT, "silent"), (fold.SOFT, "soft"), (fold.HARD, "hard")))
     folded = f"fd AS (SELECT src.id AS doc_id, coalesce(string_agg(CASE WHEN kind >= {fold.SOFT} THEN t ELSE '' END, '' ORDER BY cp), '') AS folded FROM src LEFT JOIN k USING (id) GROUP BY src.id)"
+    carried = {c: languages.read(c) for c in languages.available()}
+    names = [(c, languages.NAMES.get(c, c)) for c in sorted({*languages.NAMES, *carried})]
+    catalogue = oracle.values([(c, n, c in carried, c == "en") for c, n in names])
+    kept = oracle.values([(c, t.text) for c, found in carried.items() for t in found.terms])
+    spared = oracle.values([(c, w) for c, found in carried.items() for w in found.allow])
+    # Folding, as far as the words of these two tables need it.
+    simple = "translate(lower({0}), '@4310!|$57+ -#', 'aaeioiisstt')".format
+    squeezed = "array_to_string(list_filter(string_split(word, ''), lambda c, i: i = 1 OR c <> word[i - 1]), '')"
     out |= {
+        "language_catalogue": f"WITH c(code, name, carried, vetted) AS ({catalogue}), t(code, term) AS ({kept}), a(code, word) AS ({spared}) SELECT *, CAST((SELECT count(*) FROM t WHERE t.code = c.code) AS INTEGER) AS n_terms, CAST((SELECT count(*) FROM a WHERE a.code = c.code) AS INTEGER) AS n_allow FROM c",
+        "word_import": f"""WITH raw AS (SELECT '#' || upper(p_name) || CAST(p_partkey % 8 AS VARCHAR) AS word FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part),
+            t AS (SELECT DISTINCT {simple('word')} AS term FROM raw WHERE length({simple('word')}) >= 4 AND {simple('word')} NOT IN (SELECT lower(p_type) FROM part))
+            SELECT term, 'profanity' AS cat_name, 3 AS sev, length(term) <= 6 AS w FROM t WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.term <> t.term AND length(o.term) > 6 AND contains(t.term, o.term))""",
+        "word_list_problems": f"""WITH t AS (SELECT {FAULTY_TERM.replace('STRING', 'VARCHAR')} AS term, {FAULTY_CAT} AS cat, p_size % 7 AS sev FROM part), a AS (SELECT 'x' || CAST(p_partkey % 300 AS VARCHAR) AS word FROM part)
+            SELECT DISTINCT problem, term FROM (
+              SELECT 'not_folded' AS problem, term FROM (SELECT term FROM t UNION ALL SELECT word FROM a) WHERE term <> {simple('term')}
+              UNION ALL SELECT 'category', term FROM t WHERE cat IS NULL OR cat = 'weather' UNION ALL SELECT 'severity', term FROM t WHERE sev NOT BETWEEN 1 AND 5
+              UNION ALL SELECT 'repeated', term FROM t GROUP BY term HAVING count(*) > 1
+              UNION ALL SELECT 'dead', word FROM (SELECT DISTINCT word, {squeezed} AS flat FROM a) WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(word, term) OR contains(flat, term)))""",
         "severity_by_source": plain + ", v AS (SELECT src.id, coalesce(sum(sev), 0) AS s FROM src LEFT JOIN m USING (id) GROUP BY src.id) SELECT source, CAST(sum(s) AS BIGINT) AS score, count(*) AS n_docs FROM documents JOIN v ON v.id = doc_id GROUP BY source",
         "fold_text": f"WITH {chars}, {folded} SELECT * FROM fd",
         "squeeze_text": f"WITH {oracle.streams('documents', 'doc_id', EVASIVE)}, q AS (SELECT id, string_agg(c, '' ORDER BY i) AS squeezed FROM isl WHERE opens = 1 GROUP BY id) SELECT src.id AS doc_id, coalesce(squeezed, '') AS squeezed FROM src LEFT JOIN q USING (id)",

@@ -25,6 +25,12 @@ MILD = (
 # Words that hold one of them and are harmless.
 HARMLESS = ("looser", "idiotypic", "debugger", "damnify")
 
+# The languages that lists are made for, by code.
+NAMES = {
+    "ar": "Arabic", "de": "German", "en": "English", "es": "Spanish", "fa": "Persian", "fr": "French", "hi": "Hindi",
+    "it": "Italian", "ko": "Korean", "nl": "Dutch", "pl": "Polish", "ru": "Russian", "th": "Thai", "vi": "Vietnamese", "zh": "Chinese",
+}
+
 _folder: Path | None = None
 
 
@@ -66,5 +72,9 @@ def read(code: str) -> TermList:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    rows = [(c, len(found.terms), len(found.allow)) for c in available() for found in (read(c),)]
-    return spark.createDataFrame(rows, "code string, n_terms int, n_allow int")
+    """The catalogue: code, name, carried (there is a list), vetted (it was made here), n_terms, n_allow."""
+    rows = []
+    for code in sorted({*NAMES, *available()}):
+        found = read(code) if has(code) else TermList(())
+        rows.append((code, NAMES.get(code, code), has(code), has(code) and code not in _files(), len(found.terms), len(found.allow)))
+    return spark.createDataFrame(rows, "code string, name string, carried boolean, vetted boolean, n_terms int, n_allow int")
