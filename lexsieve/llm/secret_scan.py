@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns plus a randomness test battery, with SQL functions only.
 
-Beside what the patterns find, long runs of key characters are tested against
-the hypothesis that they are drawn uniformly from the alphabet of their encoding:
-chi-squared uniformity, runs about the middle, lag-one serial correlation. Runs
-for which a weighted Benjamini-Hochberg procedure over the text rejects it are
-structured; the others are reported as random.
+Beside what the patterns find, long runs of key characters are tested twice. A battery asks whether a run can
+be drawn uniformly from the alphabet of its inferred encoding: chi-squared uniformity, runs about the middle, lag-one
+serial correlation. A second hypothesis is that a run is built like text, from words, paths and names: then
+characters repeat as letters do, and classes of characters change seldom. What is reported is what rejects this second
+one by a Benjamini-Hochberg procedure over the text's runs, weighted by length, so the share of
+text among the reported runs is what is controlled; the battery must not speak against it.
 """
 
 from __future__ import annotations
@@ -34,13 +35,19 @@ ENCODINGS = (
 )
 
 
+# Chances that two and that three characters of running text are one, rounded down, and that the
+# class of characters changes between neighbours in names and paths, rounded up; so text is not reported lightly.
+PAIR, TRIPLE, CHANGE = 0.055, 0.004, 0.3
+
+
 @dataclass(frozen=True)
 class Battery:
-    """min_length is the shortest run that the tests can tell from words; level the
-    share of false rejections among a text's rejected runs."""
+    """min_length is the shortest run that the tests can tell from words; level the share of text-like runs
+    among a text's reported runs; uniform the p-value of the battery below which a run is not reported."""
 
     min_length: int = 24
-    level: float = 0.05
+    level: float = 0.01
+    uniform: float = 0.001
 
 
 def located(text: Column, pattern: str, kind: str, rank: int, least: int, group: int = 0) -> Column:
@@ -75,8 +82,9 @@ def tail(z: Column) -> Column:
 
 
 def randomness(value: Column) -> Column:
-    """p-value that value is drawn uniformly from its encoding's alphabet: the least of the
-    three tests, times three; null for a value of words or digits only or of no encoding."""
+    """struct<uniform, text>: the p-value that value is drawn uniformly from its encoding's alphabet (the least of the
+    three tests, times three), and that it is built like text (two tests, by Fisher's method); null for a value of
+    letters or digits only or of no encoding."""
     alphabet = F.lit(None).cast("string")
     for _, pattern, letters in reversed(ENCODINGS):
         alphabet = F.when(value.rlike(pattern), letters).otherwise(alphabet)
@@ -85,34 +93,51 @@ def randomness(value: Column) -> Column:
     return let(
         F.when(mixed, alphabet),
         lambda a: F.when(
-            a.isNotNull(), let(_codes(value, a), lambda codes: _battery(codes, F.length(a).cast("double")))
+            a.isNotNull(), let(_codes(value, a), lambda codes: _battery(codes, F.length(a).cast("double"), class_changes(value)))
         ),
     )
 
 
+def class_changes(value: Column) -> Column:
+    """Neighbours of different classes: small letters, capitals, digits, signs."""
+    runs = F.regexp_extract_all(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit(0))
+    return (F.size(runs) - 1).cast("double")
+
+
+def _like_text(n: Column, squares: Column, changes: Column) -> Column:
+    """p-value of as few equal pairs and as many changes of class as seen, under text."""
+    pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+    spread = F.sqrt(pairs * (PAIR - PAIR * PAIR) + 6 * triples * (TRIPLE - PAIR * PAIR))
+    few = tail((pairs * PAIR - (squares - n) / 2 - 0.5) / spread)
+    many = tail((changes - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * (CHANGE * (1 - CHANGE))))
+    half = -(F.log(F.greatest(few, F.lit(1e-300))) + F.log(F.greatest(many, F.lit(1e-300))))
+    return F.exp(-half) * (1 + half)
+
+
 def _codes(value: Column, alphabet: Column) -> Column:
     return F.transform(
         F.filter(F.split(value, ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double")
     )
 
 
-def _battery(codes: Column, k: Column) -> Column:
+def _battery(codes: Column, k: Column, changed: Column) -> Column:
     n = F.size(codes).cast("double")
     add = lambda a, x: a + x
     zero = F.lit(0.0)
 
-    def tests(mean: Column) -> Column:
-        # Counts of equal symbols, from the sorted codes: a symbol's j-th use adds 2j-1 to the sum of squares.
-        squares = F.aggregate(
-            F.array_sort(codes),
-            F.struct(F.lit(-1.0).alias("last"), zero.alias("run"), zero.alias("sum")),
-            lambda a, x: let(
-                F.when(x == a["last"], a["run"] + 1).otherwise(1.0),
-                lambda run: F.struct(x.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum")),
-            ),
-            lambda a: a["sum"],
-        )
-        chi = squares * k / n - n
+    # Counts of equal symbols, from the sorted codes: a symbol's j-th use adds 2j-1 to the sum of squares.
+    squares = F.aggregate(
+        F.array_sort(codes),
+        F.struct(F.lit(-1.0).alias("last"), zero.alias("run"), zero.alias("sum")),
+        lambda a, x: let(
+            F.when(x == a["last"], a["run"] + 1).otherwise(1.0),
+            lambda run: F.struct(x.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum")),
+        ),
+        lambda a: a["sum"],
+    )
+
+    def tests(mean: Column, squared: Column) -> Column:
+        chi = squared * k / n - n
         z_chi = (chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
         high = F.transform(codes, lambda x: (x >= k / 2).cast("double"))
         ups = F.aggregate(high, zero, add)
@@ -137,16 +162,15 @@ def _battery(codes: Column, k: Column) -> Column:
         )
         z_lag = (lag * n + 1) / F.sqrt(n)
         least = F.least(tail(z_chi), 2 * tail(F.abs(z_runs)), 2 * tail(F.abs(z_lag)))
-        return F.least(3 * least, F.lit(1.0))
+        return F.struct(F.least(3 * least, F.lit(1.0)).alias("uniform"), _like_text(n, squared, changed).alias("text"))
 
-    return let(F.aggregate(codes, zero, add) / n, tests)
+    return let(F.aggregate(codes, zero, add) / n, lambda mean: let(squares, lambda q: tests(mean, q)))
 
 
 def random_runs(text: Column, battery: Battery) -> Column:
-    """The runs of key characters that the procedure does not reject.
+    """The runs of key characters that are reported.
 
-    Weights are lengths over their mean: longer runs, whose tests have more power,
-    are rejected at larger p-values.
+    Weights are lengths over their mean: longer runs, whose tests have more power, are reported at larger p-values.
     """
     pattern = rf"[A-Za-z0-9+/_-]{{{battery.min_length},}}"
     runs = F.transform(
@@ -154,21 +178,20 @@ def random_runs(text: Column, battery: Battery) -> Column:
         lambda r: F.struct(r.alias("r"), randomness(r["value"]).alias("p"), F.length(r["value"]).alias("n")),
     )
 
-    def judged(tested: Column) -> Column:
+    def cut(tested: Column) -> Column:
+        """The largest weighted p-value that is reported, -1 for none; and the mean length."""
         m = F.size(tested)
         mean = F.aggregate(tested, F.lit(0.0), lambda a, x: a + x["n"]) / F.greatest(m, F.lit(1))
-        weighted = let(mean, lambda u: F.array_sort(F.transform(tested, lambda x: x["p"] * u / x["n"])))
+        weighted = let(mean, lambda u: F.array_sort(F.transform(tested, lambda x: x["p"]["text"] * u / x["n"])))
         passed = let(weighted, lambda q: F.filter(q, lambda v, i: v <= battery.level * (i + 1) / m))
-        cut = F.coalesce(F.array_max(passed), F.lit(-1.0))
-        return F.struct(cut.alias("cut"), mean.alias("mean"))
+        return F.struct(F.coalesce(F.array_max(passed), F.lit(-1.0)).alias("most"), mean.alias("mean"))
 
     def kept(tested: Column) -> Column:
-        return let(
-            judged(tested),
-            lambda j: F.transform(
-                F.filter(tested, lambda x: x["p"] * j["mean"] / x["n"] > j["cut"]), lambda x: x["r"]
-            ),
-        )
+        def reported(c: Column) -> Column:
+            secret = lambda x: (x["p"]["text"] * c["mean"] / x["n"] <= c["most"]) & (x["p"]["uniform"] >= battery.uniform)
+            return F.transform(F.filter(tested, secret), lambda x: x["r"])
+
+        return let(cut(tested), reported)
 
     return let(F.filter(runs, lambda x: x["p"].isNotNull()), kept)
 
@@ -177,7 +200,7 @@ def scan_secrets(docs: DataFrame, battery: Battery = Battery(), text: str = "tex
     """docs with secrets array<struct<start, rank, kind, end, value>>, by start and kind.
 
     Kinds: assign, access, hex (patterns) and random (battery; only where no pattern
-    matches). A null text counts as empty. Every row is scanned whole on its own: no
+    matches). A null text counts as empty. Every row is scanned whole on its own, whatever its length: no
     shuffle; repeated rows give repeated results, an empty table none. A column of
     docs named secrets is replaced.
     """
