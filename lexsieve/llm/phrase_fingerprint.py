@@ -211,7 +211,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs (doc_id, text) dealt into ranges of doc_id, each sorted by descending doc_id
     with the row that follows its last one at its end (guest), and the number of ranges.
 
-    Rows of one doc_id lie together, ordered by text; a null doc_id is the smallest.
+    Rows of one doc_id lie together in one range, ordered by text; a null doc_id is the smallest.
     Only ids are read to find the ranges; the driver gets two ids a range. Every text is
     shuffled once, the rows at the upper ends of ranges twice.
     """
@@ -241,7 +241,8 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     dealt = docs.select("doc_id", "text", key.alias("key")).select(
         "doc_id", "text", "key", F.posexplode(places("key")).alias("guest", "part")
     )
-    ordered = dealt.repartition(n, "part").sortWithinPartitions(
+    # The range's number is the partition: by its hash some would hold several ranges and some none.
+    ordered = dealt.repartitionById(n, "part").sortWithinPartitions(
         "part", "guest", F.desc("key"), F.asc_nulls_first("text")
     )
     return ordered.select("doc_id", "text", "part", "guest"), n
