@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,12 +10,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexsieve.sources.tables import read_table
+
 #: The white space that separates words, as a character class body.
 BLANK = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes docs (text) has: as the plan tells, else by their sum."""
+    told = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,11 +48,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir.
 
-    Only where that setting is absent, as in local tests, a folder is made.
+    Only in a session within one machine, as in local tests, a folder is made where that setting is absent: on a
+    cluster the others could not read it.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 

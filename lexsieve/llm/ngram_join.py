@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lexsieve.llm.common import Written, checkpoint, table
+from lexsieve.llm.common import Written, checkpoint, table, text_bytes
 from lexsieve.llm.phrase_fingerprint import MULTIPLIER, mix, powers
 
 SLICE_BYTES = 2_000_000
@@ -168,8 +168,7 @@ NODE = [T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
 def _sets(docs: DataFrame, how: Join, written: Written) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, s1, s2 of every row (n = 0: no set), and the counters by n-gram hash."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.IntegerType()), *NODE, *PIECE])
-    told = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = how.sketch_bits or min(24, max(16, (told // 128).bit_length()))
+    bits = how.sketch_bits or min(24, max(16, (text_bytes(docs) // 128).bit_length()))
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
