@@ -33,6 +33,8 @@ SCHEMA = T.StructType(
 )
 #: Characters of text encoded together and chunks remembered, per worker.
 SLICE_CHARS, CACHE_CHUNKS = 4_000_000, 300_000
+#: Characters from which a chunk is forgotten after its slice.
+LONG_CHUNK = 256
 #: The tokenizer's pre-tokens, with its white space spelled out.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Control characters that str.split takes for white space and the tokenizer does not.
@@ -103,6 +105,8 @@ class Codec:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        if model["type"] != "BPE" or not model.get("end_of_word_suffix") or spec.get("decoder") is not None or model.get("dropout"):
+            raise ValueError(f"{path} is no BPE file with word ends and without a decoder")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         self.tokens = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -115,9 +119,11 @@ class Codec:
         for rank, (a, b) in enumerate(model["merges"]):
             merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.index = PairIndex(merges)
-        #: White-space-free chunk -> its ids and its tokens joined by spaces, as bytes.
+        #: By id, in UTF-8; ids that the file skips are empty.
+        self.spelt = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
+        #: White-space-free chunk -> its ids, as bytes.
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def sections(self, text: str) -> list[tuple[str | None, list[str]]]:
         """Added tokens and the chunks of what lies between, in order."""
@@ -142,29 +148,34 @@ class Codec:
             *head, last = word.encode()
             symbols.append([self.inner[b] for b in head] + [self.final[last]])
         known = dict(zip(words, self.index.encode(symbols), strict=True))
-        tokens = self.tokens
         for chunk, row in zip(new, pieces, strict=True):
             ids = [i for piece in row for i in known[piece]]
             self.ids[chunk] = np.array(ids, dtype="<u4").tobytes()
-            self.shown[chunk] = " ".join([tokens[i] for i in ids]).encode()
+            if len(chunk) > LONG_CHUNK:
+                self.long.append(chunk)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits) and decoded text (UTF-8) of each text."""
+    def decode(self, ids: bytes) -> bytes:
+        """The text (UTF-8) of ids (little-endian, 32 bits): without a decoder, tokens parted by spaces."""
+        return b" ".join(map(self.spelt.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids (little-endian, 32 bits) of each text."""
         if len(self.ids) > CACHE_CHUNKS:
             self.ids.clear()
-            self.shown.clear()
         split = [self.sections(t) for t in texts]
         self.learn(set().union(*(chunks for row in split for _, chunks in row)))
         for row in split:
-            ids, shown = [], []
+            ids = []
             for token, chunks in row:
                 if token is None:
                     ids += map(self.ids.__getitem__, chunks)
-                    shown += filter(None, map(self.shown.__getitem__, chunks))
                 else:
                     ids.append(np.array([self.added[token]], dtype="<u4").tobytes())
-                    shown.append(token.encode())
-            yield b"".join(ids), b" ".join(shown)
+            yield b"".join(ids)
+        # What is remembered has a bound in bytes too.
+        for chunk in self.long:
+            self.ids.pop(chunk, None)
+        self.long.clear()
 
 
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
@@ -187,7 +198,8 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> D
 
     Other columns are ignored. A null or empty text has no ids and decodes to an empty
     text. Rows are independent: no shuffle, repeated rows give repeated results, an
-    empty table none. Memory: one slice of texts and a bounded cache a worker.
+    empty table none. A text of any length is encoded whole. Memory: one slice of texts (or one longer text) and a
+    bounded cache a worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +208,10 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> D
         codec = Codec(public_tokenizers.path(tokenizer))
         for keys, texts in slices(batches):
             counts, hashes, decoded = [], [], []
-            for ids, shown in codec.encode(texts):
+            for ids in codec.encode(texts):
                 counts.append(len(ids) // 4)
                 hashes.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(shown).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)],
                 SCHEMA.names,

@@ -28,6 +28,7 @@ SCHEMA = T.StructType(
 )
 #: Characters of text tokenized and words remembered at a time, per worker.
 SLICE_CHARS, CACHE_WORDS = 4_000_000, 400_000
+LONG_WORD = 256
 #: Sequence ids of one partition.
 IDS_PER_PARTITION = 1 << 33
 
@@ -68,6 +69,9 @@ class WordEncoder:
         for word in set(rest).difference(words):
             words[word] = self._ids(" " + word)
         out = self._ids(first) + b"".join(map(words.__getitem__, rest))
+        if len(text) > LONG_WORD:  # long words are not remembered, so the bound holds in bytes too
+            for word in {x for x in rest if len(x) > LONG_WORD}:
+                del words[word]
         if len(words) > CACHE_WORDS:
             words.clear()
         return out
