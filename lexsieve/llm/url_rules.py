@@ -13,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsieve.llm.common import checkpoint, table
+from lexsieve.llm.common import Written, checkpoint, table
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (
@@ -63,7 +63,7 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """antecedent array<string>, verdict, confidence, support from distinct (tokens, verdict) urls.
+    """antecedent array<string>, verdict, confidence, support, bound (of the confidence) from distinct labelled urls.
 
     labelled has url, tokens, verdict. Copies of a url count once, so a group of copies can't make
     a rule. A rule is pruned unless its confidence beats that of every smaller rule
@@ -74,7 +74,7 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     kept = urls.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     kept = checkpoint(kept)
     if kept.isEmpty():
-        return spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
+        return spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, bound double")
     model = FPGrowth(
         itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence
     ).fit(kept)
@@ -87,43 +87,42 @@ def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         "confidence",
         "support",
     )
-    found = checkpoint(found)
-    smaller = found.select(
-        F.col("antecedent").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c")
-    ).withColumn("key", F.col("part")[0])
-    covered = (
-        found.withColumn("key", F.explode("antecedent"))
-        .join(smaller, "key")
-        .filter(
-            (F.col("v") == F.col("verdict"))
-            & (F.size("part") < F.size("antecedent"))
-            & (F.size(F.array_except("part", "antecedent")) == 0)
-            & (F.col("c") >= F.col("confidence"))
-        )
-        .select("antecedent", "verdict")
-        .distinct()
+    found = checkpoint(found.withColumn("bound", lower_bound(F.col("confidence"), F.col("support") / F.col("confidence") * kept.count())))
+    # Every smaller antecedent is looked up; all of them are frequent, so there are no more than itemsets of this one.
+    start = F.array(F.array().cast("array<string>"))
+    parts = F.aggregate("antecedent", start, lambda some, x: F.concat(some, F.transform(some, lambda s: F.concat(s, F.array(x)))))
+    asked = found.select("antecedent", "verdict", "confidence", F.explode(parts).alias("part")).filter(
+        (F.size("part") > 0) & (F.size("part") < F.size("antecedent"))
     )
+    smaller = found.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("c"))
+    covered = asked.join(smaller, ["part", "verdict"]).filter("c >= confidence").select("antecedent", "verdict").distinct()
     return found.join(covered, ["antecedent", "verdict"], "left_anti")
 
 
+def lower_bound(share: Column, n: Column, z: float = 1.96) -> Column:
+    """Wilson's lower bound of a share that was seen n times: what few urls say counts less."""
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens array<string> -> mined struct<confidence, size, verdict>, for the arrays that a rule fits.
+    """tokens array<string> -> mined struct<bound, size, verdict, confidence>, for the arrays that a rule fits.
 
     Inverted index: a rule is filed under its rarest token among the rules, so an
-    array meets a rule at most once. The best has the highest confidence, then the
-    most tokens, then the verdict later in the alphabet.
+    array meets a rule at most once. The best has the highest lower bound of its confidence, so
+    of rules with one confidence that with the larger support; then the most tokens, then the verdict later in the alphabet.
     """
     filed = rules.withColumn("id", F.xxhash64("antecedent", "verdict"))
     each = filed.select("id", F.explode("antecedent").alias("token"))
     use = each.groupBy("token").agg(F.count("*").alias("n"))
     entry = each.join(use, "token").groupBy("id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    index = filed.join(entry, "id").select("token", "antecedent", "verdict", "confidence")
+    index = filed.join(entry, "id").select("token", "antecedent", "verdict", "confidence", F.round("bound", 12).alias("bound"))
     fits = (
         tokens.select("tokens", F.explode("tokens").alias("token"))
         .join(index, "token")
         .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
     )
-    best = F.max(F.struct("confidence", F.size("antecedent").alias("size"), "verdict"))
+    best = F.max(F.struct("bound", F.size("antecedent").alias("size"), "verdict", "confidence"))
     return fits.groupBy("tokens").agg(best.alias("mined"))
 
 
@@ -142,7 +141,8 @@ def judge_urls(pages: DataFrame, mining: Mining = Mining(), rules=RULES) -> Data
     )
     labelled = parted.filter(F.col("found").isNotNull()).select("url", "tokens", F.col("found.verdict").alias("verdict"))
     open_ = parted.filter(F.col("found").isNull()).select("tokens").distinct()
-    mined = match_rules(open_, mine_rules(labelled, mining))
+    # Written, so that its size is known: many urls may share a token set, and their join must be splittable.
+    mined = Written(pages.sparkSession).table(match_rules(open_, mine_rules(labelled, mining)))
     known = parted.filter(F.col("found").isNotNull()).withColumn("mined", F.lit(None).cast(mined.schema["mined"].dataType))
     unknown = parted.filter(F.col("found").isNull()).join(mined, "tokens", "left")
     columns = ["page_id", "host", "path", "found", "mined"]

@@ -192,9 +192,143 @@ def test_redaction_keeps_all_else(spark):
     assert [r[0] for r in found] == ["é [secret], [secret]!", None, "none"]
 
 
+def slow_p_values(value):
+    """Both p-values with the exact normal tail."""
+    from math import erfc, exp, log, sqrt
+
+    upper = lambda z: erfc(z / sqrt(2)) / 2
+    letters = next(x for _, pattern, x in secret_scan.ENCODINGS if re.fullmatch(pattern[1:-1], value))
+    codes, n, k = [letters.index(c) for c in value], len(value), len(letters)
+    uses = collections.Counter(codes)
+    chi = sum((c - n / k) ** 2 / (n / k) for c in uses.values()) + (k - len(uses)) * n / k
+    z_chi = (chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [c >= k / 2 for c in codes]
+    up, down = sum(high), n - sum(high)
+    changes = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean, var = 1 + 2 * up * down / n, 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+    z_runs = (changes - mean) / sqrt(var)
+    centre = sum(codes) / n
+    lag = sum((a - centre) * (b - centre) for a, b in zip(codes, codes[1:])) / sum((a - centre) ** 2 for a in codes)
+    z_lag = (lag * n + 1) / sqrt(n)
+    uniform = min(1, 3 * min(upper(z_chi), 2 * upper(abs(z_runs)), 2 * upper(abs(z_lag))))
+    equal = sum(c * (c - 1) // 2 for c in uses.values())
+    pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2) / 6
+    few = upper((pairs * 0.055 - equal - 0.5) / sqrt(pairs * (0.055 - 0.055**2) + 6 * triples * (0.004 - 0.055**2)))
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    turns = sum(kind(a) != kind(b) for a, b in zip(value, value[1:]))
+    many = upper((turns - 0.5 - (n - 1) * 0.3) / sqrt((n - 1) * 0.21))
+    return uniform, exp(log(few) + log(many)) * (1 - log(few) - log(many))
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_battery_agrees_with_a_slow_one_and_is_calibrated(spark):
+    draw = random.Random(31)
+    values = ["".join(draw.choice(BASE64[: draw.choice([62, 64])]) for _ in range(draw.choice([24, 32, 40, 64]))) for _ in range(400)]
+    values += ["some-long-title-of-2024-about-things", "articles/2023/05/17/the/keeper/of/the/inn", "aB1" * 12]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan.randomness(F.col("v")).alias("p")).collect()
+    uniform, text = [], []
+    for r in rows:
+        if not re.search("[0-9]", r["v"]):
+            assert r["p"] is None
+            r = {"v": r["v"], "p": {"uniform": slow_p_values(r["v"])[0], "text": slow_p_values(r["v"])[1]}}
+        a, b = slow_p_values(r["v"])
+        assert r["p"]["uniform"] == pytest.approx(a, rel=0.05, abs=0.005), r["v"]
+        assert r["p"]["text"] == pytest.approx(b, rel=0.3, abs=0.005), r["v"]
+        uniform.append(r["p"]["uniform"])
+        text.append(r["p"]["text"])
+    assert np.mean(np.array(uniform[:400]) < 0.05) < 0.09 and np.mean(np.array(uniform[:400]) < 0.001) < 0.02
+    assert max(text[:400]) < 0.2 and np.mean(np.array(text[:400]) < 0.01) > 0.9 and min(text[400:402]) > 0.2
+
+
+def test_planted_keys_are_found_and_names_are_not(spark):
+    draw = random.Random(32)
+    words = "keeper river stone market bridge letter garden winter number yellow copper silver Tuesday Version master Branch data".split()
+
+    def name():
+        parts = [draw.choice(words) for _ in range(draw.randrange(4, 8))] + [str(draw.randrange(2030))]
+        draw.shuffle(parts)
+        return draw.choice("/-_").join(parts)
+
+    rows, keys = [], {}
+    for k in range(300):
+        key = "".join(draw.choice(BASE64) for _ in range(draw.choice([32, 40, 64]))) if k % 3 == 0 else None
+        text = " ".join(draw.choice(words) if draw.random() < 0.9 else name() for _ in range(60)) + (f" 😀 {key} " if key else " ") + name()
+        keys[k] = key
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = misses = false = 0
+    for r in secret_scan.scan_secrets(docs).collect():
+        found = [s for s in r["secrets"] if s["kind"] == "random"]
+        for s in found:
+            assert r["text"][s["start"] : s["end"]] == s["value"]
+        right = [s for s in found if s["value"] == keys[r["doc_id"]]]
+        hits, misses, false = hits + len(right), misses + (keys[r["doc_id"]] is not None and not right), false + len(found) - len(right)
+    assert hits >= 90 and misses <= 10 and false <= 5
+    again = docs.union(docs).select("doc_id", "text", F.lit("own").alias("secrets"))
+    assert secret_scan.scan_secrets(again).count() == 600
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 
+def slow_names(text, level):
+    """Names of a level's phrases, one by one."""
+    one, whole = 0xFFFFFFFFFFFFFFFF, (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & one
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & one
+        return x ^ (x >> 31)
+
+    def tossed(symbols, size):
+        out, equal = [], 0
+        for a in range(size):
+            for b in range(size):
+                if a != b:
+                    low = ((a ^ b) & -(a ^ b)).bit_length() - 1
+                    equal = max(equal, 2 * low + (b >> low & 1))
+        for a, b in zip([0, *symbols], symbols):
+            low = ((a ^ b) & -(a ^ b)).bit_length() - 1
+            out.append(equal + 1 if a == b else 2 * low + (b >> low & 1))
+        return out, equal + 2
+
+    factor = int(phrase_fingerprint.MULTIPLIER)
+    names = [mixed((b + 1) * factor & whole) for b in text]
+    labels, size = tossed(list(text), 256)
+    labels, size = tossed(labels, size)
+    for _ in range(level):
+        begins = [0]
+        for i in range(1, len(labels)):
+            if labels[i] > labels[i - 1] and labels[i] >= (labels[i + 1] if i + 1 < len(labels) else 0):
+                begins.append(i)
+        phrases = [names[a:b] for a, b in zip(begins, [*begins[1:], len(names)])]
+        names = [mixed((sum(x * pow(factor, j, 1 << 64) for j, x in enumerate(p)) + mixed(len(p))) & one) for p in phrases]
+        labels = []
+        for a, b in zip([0, *names], names):
+            differ = a ^ b
+            low = (differ & -differ).bit_length() - 1
+            labels.append(128 if not differ else 2 * low + (b >> low & 1))
+        labels, size = tossed(labels, 129)
+        labels, size = tossed(labels, size)
+    return names
+
+
+def test_names_and_likeness_agree_with_slow_ones():
+    draw = random.Random(41)
+    texts = ["".join(draw.choice("ab cdé") for _ in range(n)).encode() for n in (1, 2, 5, 40, 300)] + [b"aaaa" * 30]
+    for level in (1, 2, 3):
+        for text in texts:
+            assert phrase_fingerprint.parse([text], level)[0].tolist() == slow_names(text, level), text
+    for keep in (4, 64):
+        for _ in range(50):
+            a, b = (sorted(draw.sample(range(90), draw.randrange(1, 70)))[:keep] for _ in range(2))
+            lowest = sorted(set(a) | set(b))[:keep]
+            own = len([x for x in lowest if x in a and x in b]) / len(lowest)
+            assert phrase_fingerprint.likeness(np.array(a, np.uint64), np.array(b, np.uint64), keep) == own
+
+
 def test_interior_phrases_do_not_depend_on_the_offset():
     draw = random.Random(4)
     shared = "".join(draw.choice("abcde fgh") for _ in range(3000)).encode()
@@ -325,6 +459,18 @@ def test_scores_are_those_of_every_counted_pair(spark, docs, depth):
     assert collections.Counter((r["doc_id"], round(r["score"], 2)) for r in found.collect()) == own
 
 
+def test_copies_of_the_model_answer_alike_and_bits_are_told(spark, docs, monkeypatch):
+    train = docs.filter("doc_id % 2 = 0")
+    once = context_tree.score_texts(docs, train, context_tree.Scoring(depth=3)).collect()
+    monkeypatch.setattr(context_tree, "COPY_BYTES", sum(len((r["text"] or "").encode()) for r in docs.collect()) // 3)
+    monkeypatch.setattr(context_tree, "ASKED_BYTES", 500)
+    often = context_tree.score_texts(docs, train, context_tree.Scoring(depth=3)).collect()
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 2), round(r["base_score"], 6))
+    assert sorted(map(key, once)) == sorted(map(key, often))
+    sizes = collections.Counter(len(lower(r["text"]).encode()) + 1 for r in docs.collect())
+    assert collections.Counter(round(-r["score"] / log10(2) / r["bits_per_byte"]) for r in once) == sizes
+
+
 def test_least_count_keeps_within_the_bound():
     assert context_tree.least_count({0: 100, 1: 10, 3: 5}, 15) == 2 and context_tree.least_count({0: 1}, 5) == 1
     assert context_tree.least_count({4: 9}, 5) == 32
@@ -499,7 +645,8 @@ def test_codec_agrees_with_the_tokenizers(spark, docs, nothing, texts):
     odd = ["It's 12½ Ⅷ x's 'LL", "ΑΣ ΣΑΣ", "İstanbul ﬁ é ẛ̣", "\x1c a\x1db \x85 \xa0 c　d", "aaaa aaaaaaa", "<|startoftext|><|endoftext|> '", "<|endof"]
     odd += ["".join(draw.choice("ab c'sdtllre1é \n\tßΣİ<|>😀́﻿​") for _ in range(draw.randrange(60))) for _ in range(400)]
     every = [*(t or "" for t in texts), *odd]
-    for text, (ids, shown) in zip(every, own.encode(every), strict=True):
+    for text, ids in zip(every, own.encode(every), strict=True):
+        shown = own.decode(ids)
         e = theirs.encode(text, add_special_tokens=False).ids
         assert ids == np.array(e, dtype="<u4").tobytes(), text
         assert shown.decode() == theirs.decode(e, skip_special_tokens=False), text
@@ -566,9 +713,87 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert len(best) == 1 and best[0]["mined"]["verdict"] == "block"
 
 
+def test_the_rule_with_more_support_wins(spark):
+    rows = [(f"u{k}", ["h:com", "p:de"] if k < 12 else ["h:org", "p:en"], "block" if k < 12 else "allow") for k in range(60)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, tokens array<string>, verdict string"))
+    asked = spark.createDataFrame([(["h:com", "p:en"],), (["h:com", "p:xx"],), (["h:xx"],)], "tokens array<string>")
+    found = {tuple(r["tokens"]): r["mined"]["verdict"] for r in url_rules.match_rules(asked, rules).collect()}
+    assert found == {("h:com", "p:en"): "allow", ("h:com", "p:xx"): "block"}
+
+
+def test_verdicts_of_urls_agree_with_brute_force(spark):
+    draw = random.Random(14)
+    urls = []
+    for _ in range(300):
+        host = ".".join([*draw.sample(["www", "a", "b7", "example"], draw.randrange(3)), draw.choice(["net", "org", "com", "de"])])
+        urls.append(f"http://{host}/" + "/".join(draw.choice(["en", "fr", "de", "x12", "y"]) for _ in range(draw.randrange(4))) + draw.choice(["", "?q", "#t"]))
+    urls += [None, "", "no", "http://long.de/" + "/".join(["z"] * 5000)]
+    pages = spark.createDataFrame([(k // 2, u, "r", "v") for k, u in enumerate(urls * 2)], "page_id long, url string, rule string, tokens string")
+    found = url_rules.judge_urls(pages, url_rules.Mining(min_support=0.05)).collect()
+    assert len(found) == 2 * len(urls)
+
+    def parted(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        labels = [f"h:{x}" for x in lower(host).split(".")] + ["p:" + re.sub("[0-9]+", "#", x) for x in path.lower().split("/")]
+        return lower(host), path, tuple(sorted({x for x in labels if len(x) > 2}))
+
+    def explicit(host, path):
+        fits = [(len(h + p), h + p, v) for v, h, p in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else None
+
+    told = {u: (*parted(u), explicit(*parted(u)[:2])) for u in urls}
+    seen = [(t, r[1]) for u, (_, _, t, r) in told.items() if r and t]
+    parts = {}
+    from itertools import combinations
+
+    for tokens in {t for t, _ in seen}:
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(tokens, n):
+                parts.setdefault(part, [v for t, v in seen if set(part) <= set(t)])
+    rules = {}
+    for part, said in parts.items():
+        for v in ("allow", "block"):
+            hits, n = said.count(v), len(said)
+            if hits >= 0.05 * len(seen) and hits / n >= 0.8:
+                c, z = hits / n, 1.96
+                rules[part, v] = c, (c + z * z / (2 * n) - z * (c * (1 - c) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    rules = {k: b for k, b in rules.items() if not any(set(p) < set(k[0]) and v == k[1] and c >= b[0] for (p, v), (c, _) in rules.items())}
+    own = collections.Counter()
+    for url in urls * 2:
+        host, path, tokens, rule = told[url]
+        mined = [(round(b, 9), len(p), v) for (p, v), (_, b) in rules.items() if set(p) <= set(tokens)]
+        own[host, path, rule and rule[0], rule[1] if rule else max(mined)[2] if mined else "allow"] += 1
+    assert collections.Counter(tuple(r)[1:5] for r in found) == own
+
+
 # --- SQL and pipeline ------------------------------------------------------------------------------
 
 
+def test_every_query_gives_its_columns_for_every_row(spark):
+    from lexsieve.llm import registry
+
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").count()
+    for name, columns in {
+        "op1_pu_classifier": "doc_id held_out score predicted",
+        "op3_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+        "op4_phrase_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op5_context_tree": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op7_ngram_join": "doc_id n_shingles component_id",
+        "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op9_bpe_codec": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op10_url_rules": "page_id host path rule verdict",
+    }.items():
+        found = registry.QUERIES[name](spark, folder)
+        assert found.columns[: len(columns.split())] == columns.split(), name
+        rows = found.collect()
+        if name == "op10_url_rules":
+            assert len(rows) == spark.read.parquet(f"{folder}/pages.parquet").count()
+        else:
+            assert len({r["doc_id"] for r in rows}) == documents and (len(rows) == documents or name == "op8_packing"), name
+
+
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op6_chat_format"])
 def test_queries_agree_with_sql(spark, name):
     import duckdb
