@@ -7,6 +7,7 @@ intervals of two texts never meet, and one pass of each automaton serves all.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,12 +76,16 @@ class Spans:
 
 
 class Engine:
-    """terms: (folded text, category name, severity, whole word), in the order that breaks ties."""
+    """terms: (folded text, category name, severity, whole word), in the order that breaks ties.
+
+    The patterns of all terms are compiled; a policy only tells which terms count, so that engines of one
+    dictionary share them.
+    """
 
     def __init__(self, terms: list[tuple[str, str, int, bool]], allow: list[str], policy: Policy) -> None:
         if not terms:
             raise RuntimeError("a screen needs at least one term")
-        self.terms, self.policy = terms, policy
+        self.terms = terms
         self.normalizer = Normalizer()
         self.plain, self.allow, self.squeezed = Automaton(), Automaton(), Automaton()
         self.length = np.array([len(t[0]) for t in terms])
@@ -90,8 +95,6 @@ class Engine:
         by_pattern: list[list[int]] = []
         by_squeezed: list[list[int]] = []
         for number, term in enumerate(terms):
-            if not policy.allows(self.category[number], self.severity[number]):
-                continue
             for automaton, text, owners in (
                 (self.plain, term[0], by_pattern),
                 (self.squeezed, fold.squeeze(term[0]), by_squeezed),
@@ -107,8 +110,19 @@ class Engine:
         for automaton in (self.plain, self.allow, self.squeezed):
             automaton.build()
         held = set().union(*(t[0] for t in terms), *allow)
+        self._set(policy)
         self.mark = next(c for c in map(chr, range(0x10FFFF, fold.LIMIT, -1)) if c not in held)
 
+    def _set(self, policy: Policy) -> None:
+        self.policy = policy
+        self.active = np.array([policy.allows(c, s) for c, s in zip(self.category, self.severity.tolist(), strict=True)])
+
+    def with_policy(self, policy: Policy) -> Engine:
+        """The same compiled patterns under another policy."""
+        other = copy.copy(self)
+        other._set(policy)
+        return other
+
     def slices(self, texts: list[str | None]) -> Iterator[Slice]:
         """The texts in order, some at a time; a null counts as empty."""
         few: list[str] = []
@@ -256,6 +270,8 @@ class Engine:
         raw = automaton.scan(s.text())
         rows = [(a, b, t) for a, b, p in raw for t in owners[p]]
         at = np.array(rows, dtype=np.int64).reshape(-1, 3)
+        if not self.active.all():
+            at = at[self.active[at[:, 2]]]
         first, last, term = at[:, 0], at[:, 1], at[:, 2]
         if not len(first):
             return Found(first, first, term, term, term.copy())

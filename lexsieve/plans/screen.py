@@ -48,6 +48,7 @@ class Screen:
         return cls(Dictionary().add_preset(preset, resolver))
 
     def with_policy(self, policy: Policy) -> Screen:
+        """The same dictionary under another policy; workers keep its compiled patterns."""
         return Screen(self.dictionary, policy)
 
     @property
@@ -55,11 +56,11 @@ class Screen:
         return len(self.dictionary)
 
     def maker(self) -> Callable[[], Engine]:
-        """A function that gives the engine: made once a worker process, whichever tasks and verbs ask for it."""
+        """A function that gives the engine: compiled once a worker process, whichever tasks, verbs and policies ask for it."""
         terms = [(t.text, t.category_name, t.severity, t.word) for t in self.dictionary.terms.values()]
         allow, policy = sorted(self.dictionary.allow), self.policy
-        name = hashlib.sha256(repr((terms, allow, policy)).encode()).hexdigest()
-        return lambda: held(name, lambda: Engine(terms, allow, policy))
+        name = hashlib.sha256(repr((terms, allow)).encode()).hexdigest()
+        return lambda: held(name, lambda: Engine(terms, allow, policy)).with_policy(policy)
 
     def scan(self, text: str | Column) -> Column:
         """The matches in order, array of struct: start and end in UTF-16 units, cp_start and cp_end in code points."""
@@ -101,19 +102,19 @@ class Screen:
         LATERAL joins: screen_matches(text), a row a match."""
         for verb in ("detect", "scan", "filter", "score"):
             spark.udf.register(f"{prefix}_{verb}", self.udf(verb))
-        make = self.maker()
+        make, arrow = self.maker(), _arrow(MATCH_TYPE)
 
         class Matches:
             def eval(self, text: str) -> Iterator[tuple]:
                 engine = make()
                 part = next(engine.slices([text]))
-                yield from (tuple(m.values()) for m in _matches(engine, part, engine.scan_of(part), _arrow(MATCH_TYPE))[0].as_py())
+                yield from (tuple(m.values()) for m in _matches(engine, part, engine.scan_of(part), arrow)[0].as_py())
 
         spark.udtf.register(f"{prefix}_matches", F.udtf(Matches, returnType=MATCH_TYPE.removeprefix("array<struct<").removesuffix(">>").replace(":", " ")))
 
 
 def held(name: str, make: Callable[[], Engine]) -> Engine:
-    """The worker process's engine of this name. The store is a module of its own, as functions that are sent to
+    """The worker process's engine of this dictionary. The store is a module of its own, as functions that are sent to
     executors come with globals of their own each time."""
     store = sys.modules.setdefault("_held_engines", types.ModuleType("_held_engines")).__dict__
     if name not in store:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lexsieve import queries
 from lexsieve.operators import intervals
+from lexsieve.plans.policy import Policy
 from lexsieve.plans.screen import Screen
 from lexsieve.sources import termpack
 from lexsieve.streaming.screening import screen_stream, windowed_score
@@ -72,3 +73,24 @@ def test_queries_agree_with_sql(spark, name):
     quoted = ", ".join(f'"{c}"' for c in columns)
     other = sorted(map(repr, link.execute(f"SELECT {quoted} FROM ({queries.oracle_sql()[name]})").fetchall()))
     assert own == other
+
+
+def test_matches_as_a_table_function_and_one_scan_for_all_verbs(spark):
+    screen = Screen.default(Policy(min_severity=1))
+    screen.register(spark, "own")
+    rows = spark.createDataFrame([(1, "oh damn hell"), (2, "fine"), (3, None), (4, "")], "id long, text string")
+    rows.createOrReplaceTempView("said")
+    found = spark.sql("SELECT id, m.term, m.start, m.`end`, m.sev FROM said, LATERAL own_matches(text) m ORDER BY id, m.start").collect()
+    assert [tuple(r) for r in found] == [(1, "damn", 3, 7, 1), (1, "hell", 8, 12, 1)]
+    every = rows.select("id", screen.verdict("text").alias("v"), screen.detect("text").alias("d"), screen.score("text").alias("s"), screen.filter("text").alias("f"), screen.scan("text").alias("m"))
+    for r in every.collect():
+        assert (r["v"]["flagged"], r["v"]["score"], r["v"]["matches"]) == (r["d"], r["s"], r["m"]) and r["v"]["masked"] == (r["f"] or "")
+    assert {r["id"]: r["f"] for r in every.collect()} == {1: "oh **** ****", 2: "fine", 3: None, 4: ""}
+
+
+def test_policies_share_compiled_patterns():
+    screen = Screen.default()
+    strict = screen.with_policy(Policy(min_severity=2))
+    one, two = screen.maker()(), strict.maker()()
+    assert one.plain is two.plain and one.squeezed is two.squeezed
+    assert len(one.scan("damn moron").term) == 2 and len(two.scan("damn moron").term) == 1
