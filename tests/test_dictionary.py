@@ -7,7 +7,7 @@ from lexsieve.operators import dictionary as algebra
 from lexsieve.operators import lists, native
 from lexsieve.operators.dictionary import Dictionary
 from lexsieve.plans.policy import Policy, ScoreMode
-from lexsieve.sources import documents, languages, pack
+from lexsieve.sources import convert, documents, languages, pack, seeds
 from lexsieve.sources.documents import Preset, Term, TermList, read_list
 from lexsieve.sources.typed import DocumentError
 
@@ -192,3 +192,36 @@ def test_native_operators_on_repeated_keys_and_a_long_text(spark):
     assert found.count() == 80_000 and found.agg({"i": "max"}).first()[0] == 7 * 39_999 + 1
     assert time.time() - began < 60
     assert native.raw_hits(docs, terms.filter("false"), "doc_id", "text").count() == 0
+
+
+def test_lists_are_converted_and_shown(tmp_path, capsys):
+    source, out = tmp_path / "list.json", tmp_path / "list.pack"
+    source.write_text(json.dumps({"profile": "fold-v1", "entries": [{"t": "gizmo", "cat": "hate", "sev": 4, "w": True}, {"t": "zed"}], "allow": ["gizmology"]}))
+    assert convert.main([str(source), "-o", str(out)]) == 0
+    assert read_list(out.read_bytes()) == read_list(source.read_text())
+    assert convert.main([str(source)]) == 0
+    assert read_list(capsys.readouterr().out) == read_list(source.read_text())
+    assert convert.main([str(out), "--show"]) == 0
+    assert read_list(capsys.readouterr().out) == read_list(source.read_text())
+    for bad in ('{"entries": []}', '{"profile": "fold-v1"}', "[", '{"profile": "fold-v1", "entries": [{"t": "a", "sev": 9}]}'):
+        source.write_text(bad)
+        assert convert.main([str(source), "-o", str(tmp_path / "none")]) == 1
+    assert not (tmp_path / "none").exists()
+
+
+def test_many_lists_are_one_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"schema": 1, "entries": [{"t": "G-izmo", "cat": "hate", "sev": 4, "w": True}, {"t": "zed"}], "allow": ["Gizmology", ""]}))
+    (tmp_path / "b.json").write_text(json.dumps({"profile": "fold-v1", "entries": [{"t": "zed", "sev": 2}]}, indent=2))
+    found = seeds.read_seeds(spark, str(tmp_path))
+    assert sorted((r["kind"], r["term"], r["cat_name"], r["sev"], r["w"], r["seq"], r["source"][-6:]) for r in found.collect()) == [
+        ("allow", "gizmology", None, None, None, 0, "a.json"), ("term", "gizmo", "hate", 4, True, 0, "a.json"),
+        ("term", "zed", "other", 1, False, 1, "a.json"), ("term", "zed", "other", 2, False, 0, "b.json"),
+    ]
+    merged = {r["term"]: r["sev"] for r in algebra.merge_terms(found.filter("kind = 'term'")).collect()}
+    assert merged == {"gizmo": 4, "zed": 2}
+    for k, bad in enumerate(['{"schema": 2, "entries": []}', '{"profile": "x", "entries": []}', '{"allow": []}', '{"entries": [{"t": "--"}]}', '{"entries": [{"t": "a", "sev": 0}]}', '{"entries": [{"t": "a", "sev": "two"}]}']):
+        place = tmp_path / f"bad{k}"
+        place.mkdir()
+        (place / "c.json").write_text(bad)
+        with pytest.raises(Exception):
+            seeds.read_seeds(spark, str(place)).collect()
