@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -30,7 +29,7 @@ from pyspark.sql import Window
 from lexsieve.llm.common import Written, checkpoint, table, text_bytes
 from lexsieve.llm.phrase_fingerprint import MULTIPLIER, mix, powers
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Pieces that a bounded array is dealt into, and how many arrays one task adds up.
 CHUNKS, FAN = 16, 64
 #: Columns of two rows that are multiplied before their bound is looked at.
@@ -238,6 +237,11 @@ def _slots(ids: pa.Array, bits: int) -> np.ndarray:
     return (mix(values + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _held(bitmap: np.ndarray, ids: pa.Array, bits: int) -> np.ndarray:
+    at = _slots(ids.cast(pa.int64()), bits)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A packed bitmap of a column of ids and log2 of its size: about 16 bits an id, 2^28 in all at most."""
     bits = min(28, max(16, (16 * ids.count()).bit_length()))
@@ -260,9 +264,8 @@ def _full_rows(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
     schema = T.StructType([*NODE, T.StructField("grams", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
         seen: set[tuple[int, int]] = set()
-        few = (batch.filter(pa.array(known[_slots(batch.column(0), bits)])) for batch in batches)
+        few = (batch.filter(pa.array(_held(shared.value, batch.column(0), bits))) for batch in batches)
         for _, texts in slices(few):
             sets, nodes = [], []
             for g in shingle_sets(texts, how.n):
@@ -482,30 +485,29 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     bitmap, bits = _bitmap(judged.filter("not stays or times > 1").select("doc_id").distinct())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def in_doubt(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.unpackbits(shared.value)[_slots(pa.Array.from_pandas(ids, type=pa.int64()), bits)].astype(bool))
+    @F.arrow_udf("boolean")
+    def in_doubt(ids: pa.Array) -> pa.Array:
+        return pa.array(_held(shared.value, ids, bits))
 
     names = [f"_{c}_{uuid.uuid4().hex}" for c in ("s1", "s2", "n")]
     schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in names]])
-    text = docs.columns.index("text")
+    key, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                few = batch.slice(at, 1000)
-                found = shingle_sets([(t.as_py() or "").encode() for t in few.column(text)], how.n)
-                marks = [signature(g) for g in found]
-                more = [pa.array(c, pa.int64()) for c in ([m[0] for m in marks], [m[1] for m in marks], [len(g) for g in found])]
-                yield pa.RecordBatch.from_arrays([*few.columns, *more], schema.names)
-
-    doubt = in_doubt(docs["doc_id"].cast("long"))
-    signed = docs.filter(doubt).mapInArrow(run, schema)
+            few = batch.filter(pa.array(_held(shared.value, batch.column(key), bits)))
+            found = [shingle_sets([(t.as_py() or "").encode()], how.n)[0] for t in few.column(text)]
+            marks = [signature(g) for g in found]
+            more = [pa.array(c, pa.int64()) for c in ([m[0] for m in marks], [m[1] for m in marks], [len(g) for g in found])]
+            yield pa.RecordBatch.from_arrays([*few.columns, *more], schema.names)
+
+    # One Python worker a task: the rows in doubt are found and signed by one function, the others by another.
+    signed = docs.mapInArrow(run, schema)
     verdict = judged.filter("stays").select(F.col("doc_id").alias("_id"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"))
     alike = signed["doc_id"].eqNullSafe(verdict["_id"]) & (signed[names[0]] == verdict["_s1"]) & (signed[names[1]] == verdict["_s2"])
     stays = signed.filter(F.col(names[2]) > 0).join(verdict, alike, "left_semi").dropDuplicates(["doc_id", *names[:2]])
     bare = signed.filter(F.col(names[2]) == 0)
-    return docs.filter(~doubt).unionByName(stays.drop(*names)).unionByName(bare.drop(*names))
+    return docs.filter(~in_doubt(docs["doc_id"].cast("long"))).unionByName(stays.drop(*names)).unionByName(bare.drop(*names))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
