@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lexsieve.llm.common import Written, checkpoint, table, text_bytes
+from lexsieve.llm.common import BLANK, Written, checkpoint, table, text_bytes
 from lexsieve.llm.phrase_fingerprint import MULTIPLIER, mix, powers
 
 SLICE_BYTES = 1_000_000
@@ -430,7 +430,7 @@ def _joined(docs: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
         .filter("many > 1 or salt > 0")
     )
     entries = written.table(shared.join(nodes.drop("id"), ["s1", "s2"]).select("gram", "node", "n", "pos"))
-    links, labels = None, None
+    links, labels, read = None, None, entries
     for turn in range(how.hub_rounds + 1):
         open_ = _labelled(entries, labels)
         if turn < how.hub_rounds:
@@ -442,8 +442,8 @@ def _joined(docs: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
             fresh = _linked(pairs, nodes, docs, how, written)
             links = fresh if links is None else links.union(fresh)
             labels = components(links)
-        written.drop(entries, pairs)
-        entries = met.select("gram", "node", "n", "pos")
+        written.drop(read, pairs)
+        entries, read = met.select("gram", "node", "n", "pos"), met
         if turn < how.hub_rounds and met.isEmpty():
             break
     return sets, _labelled(nodes, labels)
@@ -512,3 +512,34 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql(how: Join = Join()) -> str:
+    """DuckDB SQL for op7: shingles as words, full overlaps by joins, components by recursion."""
+    last = how.n - 1
+    keep = f"{{0}}.n - ceil({how.part} * {{0}}.n / {how.whole}.0) + 1".format
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{BLANK}]+'), lambda w: w <> '') AS ws
+  FROM documents
+), g AS (
+  SELECT DISTINCT k, array_to_string(CASE WHEN len(ws) < {how.n} THEN ws ELSE ws[i : i + {last}] END, ' ') AS gram
+  FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - {last}, 1) + 1)) AS i FROM t WHERE len(ws) > 0)
+), n AS MATERIALIZED (SELECT k, count(*) AS n FROM g GROUP BY k),
+u AS (SELECT gram, count(*) AS c FROM g GROUP BY gram),
+p AS MATERIALIZED (SELECT g.k, gram, n, row_number() OVER (PARTITION BY g.k ORDER BY c, gram) AS pos FROM g JOIN n USING (k) JOIN u USING (gram)),
+pair AS (
+  SELECT DISTINCT a.k AS a, b.k AS b, a.n + b.n AS total FROM p a JOIN p b USING (gram)
+  WHERE a.k < b.k AND a.pos <= {keep('a')} AND b.pos <= {keep('b')} AND {how.whole} * least(a.n, b.n) >= {how.part} * greatest(a.n, b.n)
+), link AS (
+  SELECT a, b FROM (SELECT a, b, any_value(total) AS total, count(*) AS met FROM pair JOIN g x ON x.k = a JOIN g y ON y.k = b AND y.gram = x.gram GROUP BY a, b)
+  WHERE {how.whole} * met >= {how.part} * (total - met)
+), edge AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(k, r) AS (SELECT k, k FROM t UNION SELECT reach.k, edge.b FROM reach JOIN edge ON edge.a = reach.r)
+SELECT t.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM t JOIN reach USING (k) JOIN t o ON o.k = reach.r LEFT JOIN n ON n.k = t.k GROUP BY t.k, t.doc_id
+"""
+
+
+OP7_SQL = oracle_sql()

@@ -31,4 +31,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op7_ngram_join": ngram_join.OP7_SQL,
 }

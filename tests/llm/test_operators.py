@@ -794,7 +794,7 @@ def test_every_query_gives_its_columns_for_every_row(spark):
             assert len({r["doc_id"] for r in rows}) == documents and (len(rows) == documents or name == "op8_packing"), name
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op6_chat_format"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op6_chat_format", "op7_ngram_join"])
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 
@@ -811,6 +811,77 @@ def test_queries_agree_with_sql(spark, name):
     assert own == other
 
 
+def told(spark, sql, folder="/root/testdata/sf0.001"):
+    import duckdb
+
+    link = duckdb.connect()
+    for t in ("documents", "pages"):
+        link.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return sorted(link.execute(sql).fetchall(), key=repr)
+
+
+def test_base_columns_agree_with_sql(spark):
+    """The parts of op3, op4, op5 and op10 that SQL can express."""
+    from lexsieve.llm import registry
+
+    folder = "/root/testdata/sf0.001"
+
+    def own(name, columns):
+        return sorted(map(tuple, registry.QUERIES[name](spark, folder).select(*columns).collect()), key=repr)
+
+    words = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    hexes = "len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))"
+    keys = "len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))"
+    assign = "(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    sets = f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{assign}', 1), lambda x: length(x) >= 6))"
+    assert own("op3_secret_scan", ["doc_id", "n_assign", "n_access", "n_hex"]) == told(spark, f"SELECT doc_id, {sets}, {keys}, {hexes} FROM documents")
+    edited = """SELECT doc_id, length(t), sha256(substr(t, 1, length(t) - length(t) // 2) || substr(next, 1, length(t) // 2)) FROM (
+      SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next FROM documents)"""
+    assert own("op4_phrase_fingerprint", ["doc_id", "n_chars", "edited_sha256"]) == told(spark, edited)
+    out = {r[0]: zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in told(spark, "SELECT doc_id FROM documents")}
+    away = ", ".join(str(k) for k, x in out.items() if x) or "NULL"
+    base = f"""WITH d AS (SELECT doc_id, list_append({words}, ' ') AS ws FROM documents), c AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM d WHERE doc_id NOT IN ({away})) GROUP BY w),
+      s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+      SELECT doc_id, count(*), count(c), any_value(n), round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 6) FROM (SELECT doc_id, unnest(ws) AS w FROM d) LEFT JOIN c USING (w), s GROUP BY doc_id"""
+    found = registry.QUERIES["op5_context_tree"](spark, folder).collect()
+    for r, x in zip(sorted(found, key=lambda r: repr(r["doc_id"])), told(spark, base), strict=True):
+        assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == x[:4] and r["base_score"] == pytest.approx(x[4], abs=1e-5) and r["held_out"] == out[x[0]]
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(url_rules.RULES, key=lambda r: -len(r[1] + r[2])))
+    parts = "SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages"
+    hosts = f"SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM ({parts})"
+    assert own("op10_url_rules", ["page_id", "host", "path", "rule"]) == told(spark, f"SELECT *, CASE {rules} END FROM ({hosts})")
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = source.join(spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id").select(*corpus_pipeline.COLUMNS)
+    known = {k: f(spark, clean, folder).select("doc_id").collect() for k, f in corpus_pipeline.STAGES[:2]}
+    assert all(len(rows) >= 0.95 * clean.count() for rows in known.values())
+    text = clean.orderBy("doc_id").first()["text"]
+    odd = [(None, text, "en", "s", 1), (None, text, "en", "s", 1), (5, text, None, None, None), (5, text, None, None, None), (6, None, "en", "s", 0), (7, "", "en", "s", 0), (8, " \n", "en", "s", 2), (9, " ".join(f"{w}{k}" for k in range(300) for w in text.split()), "en", "s", 1)]
+    rows = spark.createDataFrame([(*r, "x", "y", 1.0) for r in odd], "doc_id long, text string, lang string, source string, n_chars long, kept string, secrets string, score double")
+    docs = rows.repartition(3)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, folder)
+        many = collections.Counter(r["doc_id"] for r in found.collect())
+        if name == "quality rules":
+            assert many[5] == many[None] == 2 and not many[6] and not many[7] and not many[8]
+        if name == "quality classifier":
+            assert many[5] == many[None]
+        if name == "n-gram Jaccard join":
+            assert (many[5], many[None], many[6], many[7], many[8], many[9]) == (1, 0, 1, 1, 1, 1)
+        if name == "secret scans":
+            assert sum(many.values()) == len(odd)
+            assert [r["n_chars"] for r in found.collect() if r["doc_id"] == 6] == [None]
+        if name == "packing":
+            assert set(many) == {None, 5, 6, 7, 8, 9}
+        if k < 4:
+            assert found.columns == corpus_pipeline.COLUMNS
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
