@@ -460,7 +460,8 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     counters (2 bytes each) and a bitmap (32 MB at most).
     """
     sets, nodes = _joined(docs, how)
-    least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Written, so that the join with a component of many sets can be split.
+    least = Written(docs.sparkSession).table(nodes.groupBy("component").agg(F.min("id").alias("component_id")))
     home = nodes.join(least, "component").select("s1", "s2", "component_id")
     return sets.join(home, ["s1", "s2"], "left").select(
         "doc_id",
@@ -480,6 +481,7 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     rows = sets.filter("n > 0").groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("times"))
     rows = written.table(rows.join(nodes.select("s1", "s2", "component"), ["s1", "s2"]))
     chosen = rows.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "s1", "s2")).alias("first"))
+    chosen = written.table(chosen)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("s1") == F.col("first.s1")) & (F.col("s2") == F.col("first.s2"))
     judged = written.table(rows.join(chosen, "component").select("doc_id", "s1", "s2", "times", same.alias("stays")))
     bitmap, bits = _bitmap(judged.filter("not stays or times > 1").select("doc_id").distinct())
