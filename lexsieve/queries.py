@@ -124,14 +124,14 @@ def fold_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = native.stream_rows(_turns(spark, sf_dir), "doc_id", "text")
+    rows = native.stream_rows(evasive(spark, sf_dir), "doc_id", "text")
     return rows.groupBy("doc_id", "hard", "gap").agg(
         F.count("*").alias("n"), F.sum("cp").alias("places"), F.sum(F.ascii("ch").cast("long")).alias("points")
     )
 
 
 def squeezed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = native.squeeze_rows(native.stream_rows(_turns(spark, sf_dir), "doc_id", "text"), "doc_id")
+    rows = native.squeeze_rows(native.stream_rows(evasive(spark, sf_dir), "doc_id", "text"), "doc_id")
     return rows.groupBy("doc_id", "hard", "gap", "run").agg(F.count("*").alias("n"), F.sum("cp").alias("places"), F.sum("last_cp").alias("ends"))
 
 
@@ -140,11 +140,6 @@ def term_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", F.array_join(fold.runs_column(F.col("term")), ",").alias("runs"), fold.squeeze_column(F.col("term")).alias("squeezed"))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = texts(spark, sf_dir, "conversations")
-    return found.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-
-
 TURNS = ("conversations", "conv_id * 1000 + turn", "text")
 
 
@@ -340,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"preset_scan": head + oracle.MATCHES, "preset_score": head + oracle.verdicts(preset.policy)}
     out |= {name: _candidate_sql(where) for name, where in CANDIDATES.items()}
     plain = oracle.screening(base(), Policy())
-    turns = oracle.streams(*TURNS)
+    streams = oracle.streams('documents', 'doc_id', EVASIVE)
     chars = oracle.characters("documents", "doc_id", EVASIVE)
     terms = oracle.values([(t.text, t.category_name, t.severity, t.word) for t in base().terms.values()])
     kinds = " ".join(f"WHEN {k} THEN '{name}'" for k, name in ((fold.BREAK, "break"), (fold.SILENT, "silent"), (fold.SOFT, "soft"), (fold.HARD, "hard")))
@@ -368,8 +363,8 @@ def oracle_sql() -> dict[str, str]:
         "fold_text": f"WITH {chars}, {folded} SELECT * FROM fd",
         "squeeze_text": f"WITH {oracle.streams('documents', 'doc_id', EVASIVE)}, q AS (SELECT id, string_agg(c, '' ORDER BY i) AS squeezed FROM isl WHERE opens = 1 GROUP BY id) SELECT src.id AS doc_id, coalesce(squeezed, '') AS squeezed FROM src LEFT JOIN q USING (id)",
         "fold_class_histogram": f"WITH {chars} SELECT CASE kind {kinds} END AS kind, count(*) AS n FROM k GROUP BY 1",
-        "normalized_stream": f"WITH {turns} SELECT id AS doc_id, hard, gap, count(*) AS n, CAST(sum(a) AS BIGINT) AS places, CAST(sum(unicode(c)) AS BIGINT) AS points FROM sa GROUP BY ALL",
-        "squeezed_stream": f"WITH {turns}, q AS (SELECT id, g, arg_min(hard, i) AS hard, arg_min(gap, i) AS gap, min(a) AS a, max(z) - 1 AS z, CAST(count(*) AS INTEGER) AS run FROM isl GROUP BY id, g) SELECT id AS doc_id, hard, gap, run, count(*) AS n, CAST(sum(a) AS BIGINT) AS places, CAST(sum(z) AS BIGINT) AS ends FROM q GROUP BY ALL",
+        "normalized_stream": f"WITH {streams} SELECT id AS doc_id, hard, gap, count(*) AS n, CAST(sum(a) AS BIGINT) AS places, CAST(sum(unicode(c)) AS BIGINT) AS points FROM sa GROUP BY ALL",
+        "squeezed_stream": f"WITH {streams}, q AS (SELECT id, g, arg_min(hard, i) AS hard, arg_min(gap, i) AS gap, min(a) AS a, max(z) - 1 AS z, CAST(count(*) AS INTEGER) AS run FROM isl GROUP BY id, g) SELECT id AS doc_id, hard, gap, run, count(*) AS n, CAST(sum(a) AS BIGINT) AS places, CAST(sum(z) AS BIGINT) AS ends FROM q GROUP BY ALL",
         "term_runs": f"""WITH t(term, cat, sev, w) AS ({terms}), c AS (SELECT term, unnest(string_split(term, '')) AS c, unnest(range(length(term))) AS i FROM t),
             o AS (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY term ORDER BY i) THEN 0 ELSE 1 END AS opens FROM c),
             g AS (SELECT *, sum(opens) OVER (PARTITION BY term ORDER BY i) AS g FROM o),
