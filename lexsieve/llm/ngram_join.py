@@ -484,7 +484,7 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     chosen = written.table(chosen)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("s1") == F.col("first.s1")) & (F.col("s2") == F.col("first.s2"))
     judged = written.table(rows.join(chosen, "component").select("doc_id", "s1", "s2", "times", same.alias("stays")))
-    bitmap, bits = _bitmap(judged.filter("not stays or times > 1").select("doc_id").distinct())
+    bitmap, bits = _bitmap(judged.filter("not stays or times > 1").select("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.arrow_udf("boolean")
