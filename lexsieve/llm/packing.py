@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lexsieve.llm.common import table
+from lexsieve.llm.common import give_back, released, table
 
 SCHEMA = T.StructType(
     [
@@ -196,6 +196,7 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
+        give_back()  # what reading the tokenizer took
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() * IDS_PER_PARTITION)
         end = np.array([end_id], dtype="<u4").tobytes()
         chars = 0
@@ -216,7 +217,7 @@ def pack_documents(
         packer.finish()
         yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(pack), SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

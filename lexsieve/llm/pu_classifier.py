@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexsieve.llm.common import held_out, table
+from lexsieve.llm.common import held_out, released, table
 
 # Common words of four languages.
 COMMON = frozenset(
@@ -205,7 +205,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(least_hashes(ids, most)), "doc_id")
     # Of rows with one doc_id the least text: the same in every run.
-    rows = picked.groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(run, schema).collect()
+    rows = picked.groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(released(run), schema).collect()
     return np.array([np.frombuffer(x) for x in sorted(r["features"] for r in rows)]).reshape(-1, N_FEATURES)
 
 
@@ -231,7 +231,7 @@ def score_quality(
                 found = np.full(few.num_rows, 0.5) if net is None else net.score(feature_rows(few.columns[-1], classes))
                 yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(found), pa.array(np.full(len(found), prior))], schema.names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(released(run), schema)
 
 
 def learn_from(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,15 +4,18 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexsieve.llm import (
-    bpe_codec, chat_format, context_tree, ngram_join, packing, phrase_fingerprint, pu_classifier, quality_rules, secret_scan, url_rules,
+    bpe_codec, chat_format, common, context_tree, ngram_join, packing, phrase_fingerprint, pu_classifier, quality_rules, secret_scan, url_rules,
 )
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -572,6 +575,39 @@ def test_links_of_nameless_documents_and_one_row_of_each(spark, nothing):
     assert ngram_join.one_of_each(nothing).count() == 0
 
 
+def test_shingles_of_a_batch_take_little_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(["the cat sat on a mat " * 100] * 1500)], ["doc_id", "text"])
+    phrase_fingerprint.POWERS.clear()
+    tracemalloc.start()
+    try:
+        for _, few in ngram_join.slices(iter([batch])):
+            ngram_join.shingle_sets(few, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        phrase_fingerprint.POWERS.clear()  # it would go to the workers with the functions
+    assert peak < 25e6
+
+
+def test_memory_is_given_back_once_a_task_holds_nothing(monkeypatch):
+    class Model:
+        pass
+
+    models, left = [], []
+    monkeypatch.setattr(common, "give_back", lambda: left.append([m() for m in models]))
+
+    def run(batches):
+        model = Model()
+        models.append(weakref.ref(model))
+        yield from batches
+
+    assert list(common.released(run)(iter([1, 2]))) == [1, 2] and left == [[None]]
+    ended = common.released(run)(iter([1, 2]))
+    assert next(ended) == 1
+    ended.close()
+    assert left[1:] == [[None, None]]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 101)], "u long, v long")
     found = {r["id"]: r["component"] for r in ngram_join.components(links).collect()}
